@@ -137,8 +137,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, lists: int |
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = usable(vectors).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     rows = cut(rows.withColumn("class", F.sha2(F.to_json("embedding"), 256)))
-    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()
-    found = [x for x in chosen.column("embedding").to_pylist()]
+    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec_id", "embedding").toArrow()
+    found = chosen.column("embedding").to_pylist()
     if not found:
         return empty
     width = max({len(x) for x in found}, key=lambda w: (sum(len(x) == w for x in found), w))
@@ -147,6 +147,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, lists: int |
     size = rows.agg(F.count("*").alias("n"), F.max(norm).alias("m")).first()
     lists = lists or max(1, min(4096, size["n"] // LIST))
     base = np.array([x for x in found if len(x) == width])
+    anchor_ids = [i for i, x in zip(chosen.column("vec_id").to_pylist(), found, strict=True) if len(x) == width][:ANCHORS]
     model = Model(base, lists, float(size["m"]))
     probes = probes or model.probes_for(base, top)
 
@@ -205,7 +206,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, lists: int |
                         out["vec_id"].append(vec_id)
         return pd.DataFrame(out).astype({"score": "float64", "vec_id": "int64"})
 
-    hits = held.groupBy("list", "part", "turn").cogroup(come.groupBy("list", "part", "turn")).applyInPandas(scan, "asker string, score double, vec_id long")
+    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = _matrix(batch.column("query"), width) @ model.anchors.T
+            few = np.argsort(-scores, axis=1, kind="stable")[:, : top + 1]
+            score, vec_id = np.take_along_axis(scores, few, 1), np.array(anchor_ids, np.int64)[few]
+            asker = batch.column("asker").take(pa.array(np.repeat(np.arange(len(scores)), few.shape[1])))
+            yield pa.RecordBatch.from_arrays([asker, pa.array(score.ravel()), pa.array(vec_id.ravel())], names=["asker", "score", "vec_id"])
+
+    # The anchors that gave the first bound are found already, so no query is left with fewer than its share.
+    known = map_arrow(probing.select("asker", "query"), anchored, "asker string, score double, vec_id long")
+    hits = held.groupBy("list", "part", "turn").cogroup(come.groupBy("list", "part", "turn")).applyInPandas(scan, "asker string, score double, vec_id long").unionByName(known).groupBy("asker", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id")
     best = hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top + 1)
     answers = cut(best.groupBy("asker").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))).alias("near")))

@@ -192,3 +192,17 @@ def grade_documents(docs: DataFrame, model: CumulativeLink, threshold: float = T
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), kernel, SCHEMA)
+
+
+def keep_documents(docs: DataFrame, model: CumulativeLink, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, whose probability of the highest grade reaches the threshold. One pass, no join."""
+    at = docs.columns.index("text")
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, weights = Tokens(), model.weights
+        for batch in batches:
+            found = [x or "" for x in batch.column(at).to_pylist()]
+            scores = np.array([float(v @ weights[i]) for i, v in (features(x, tokens) for x in found)])
+            yield batch.filter(pa.array(model.probabilities(scores)[:, -1] >= threshold))
+
+    return map_arrow(docs, kernel, docs.schema)
