@@ -100,7 +100,7 @@ def first_labels(labels: DataFrame, exact_text: bool = True) -> DataFrame:
 
 def class_distribution(rows: DataFrame, split: str, cls: str, splits: list[str]) -> DataFrame:
     """Rows (class, one column for each split, total)."""
-    wide = rows.groupBy(F.col(cls).alias("class")).pivot(split, splits).agg(F.count("*")).na.fill(0)
+    wide = rows.groupBy(F.col(cls).alias("class")).pivot(split, splits).agg(F.count(F.lit(1))).na.fill(0)
     total = F.lit(0).cast("long")
     for s in splits:
         total = total + F.col(f"`{s}`")

@@ -72,14 +72,13 @@ def cross_split_topk(rows: DataFrame, k: int = 5, key: str = "id", split: str =
     part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     left = held.withColumn("q", part).withColumn("p", every)
-    right = held.withColumn("p", part).withColumn("q", every)
+    right = held.select(part.alias("rp"), every.alias("rq"), F.col("id").alias("rid"), F.col("split").alias("rsplit"), F.col("v").alias("rv"))
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "query_split": [], "id": [], "split": [], "cosine": []}
         if len(a) and len(b):
-            b = b.sort_values("id", kind="stable").reset_index(drop=True)
-            scores = np.array(a["v"].tolist()) @ np.array(b["v"].tolist()).T
-            scores[a["split"].to_numpy()[:, None] == b["split"].to_numpy()[None, :]] = -np.inf
+            scores = np.array(a["v"].tolist()) @ np.array(b["rv"].tolist()).T
+            scores[a["split"].to_numpy()[:, None] == b["rsplit"].to_numpy()[None, :]] = -np.inf
             for i, (qid, qs) in enumerate(zip(a["id"], a["split"], strict=True)):
                 # All that may round to a tie with the k-th stay for the exact order below.
                 row = scores[i]
@@ -87,12 +86,12 @@ def cross_split_topk(rows: DataFrame, k: int = 5, key: str = "id", split: str =
                 for j in np.flatnonzero((row >= edge) & (row > -np.inf)):
                     out["query_id"].append(qid)
                     out["query_split"].append(qs)
-                    out["id"].append(b["id"][j])
-                    out["split"].append(b["split"][j])
+                    out["id"].append(b["rid"][j])
+                    out["split"].append(b["rsplit"][j])
                     out["cosine"].append(row[j])
         return pd.DataFrame(out).astype({"query_id": "int64", "id": "int64", "cosine": "float64"})
 
-    hits = left.groupBy("q", "p").cogroup(right.groupBy("q", "p")).applyInPandas(best, "query_id long, query_split string, id long, split string, cosine double")
+    hits = left.groupBy("q", "p").cogroup(right.groupBy("rq", "rp")).applyInPandas(best, "query_id long, query_split string, id long, split string, cosine double")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), "id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "query_split", "rank", "id", "split", "cosine")
 

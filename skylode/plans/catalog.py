@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from skylode.plans import detection
+from skylode.plans import detection, leakage
 
-_MODULES = (detection,)
+_MODULES = (detection, leakage)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
