@@ -59,13 +59,13 @@ def build_chain(payloads: DataFrame, ledger: str = "ledger") -> DataFrame:
 def inventory_fingerprint(rows: DataFrame, *fields: str, by: str | None = None) -> DataFrame:
     """One row ([by,] fingerprint, n): the digest of the rows' own digests in order.
 
-    Each row's fields, NUL-ended, are hashed; the sorted digests are hashed by their first two
-    digits, and these 256 digests again. So it doesn't depend on the order of rows, and no task holds more than a 256th of the inventory's digests.
+    Each row's fields, NUL-ended, are hashed; the sorted digests are hashed by their first four
+    digits, and these digests again. So it doesn't depend on the order of rows, and the last step has 65,536 digests at most.
     """
     key = [by] if by else []
-    text = F.concat(*[F.concat(F.coalesce(F.col(f).cast("string"), F.lit("")), F.decode(F.lit(b"\0"), F.lit("UTF-8"))) for f in fields])
+    text = F.concat(*[F.concat(F.coalesce(F.col(f).cast("string"), F.lit("")), F.char(F.lit(0))) for f in fields])
     each = rows.select(*key, digest(text).alias("d"))
-    leaves = each.groupBy(*key, F.substring("d", 1, 2).alias("b")).agg(digest(F.array_join(F.array_sort(F.collect_list("d")), "")).alias("h"), F.count("*").alias("n"))
+    leaves = each.groupBy(*key, F.substring("d", 1, 4).alias("b")).agg(digest(F.array_join(F.array_sort(F.collect_list("d")), "")).alias("h"), F.count("*").alias("n"))
     return leaves.groupBy(*key).agg(digest(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "")).alias("fingerprint"), F.sum("n").alias("n"))
 
 
