@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +27,7 @@ STEMS = (4, 5, 6)
 LENGTH = 10.0
 GRADES = 3
 #: A document stays if the probability of the highest grade is this at least.
-THRESHOLD = 0.5
+THRESHOLD = 0.75
 #: Labelled documents of the sample in which a feature must occur to get a weight.
 LEAST_DOCS = 15
 SCHEMA = "doc_id long, expected_grade double, tail_probability double, grade int, kept boolean"
@@ -79,31 +83,47 @@ def shape(token: str) -> int:
     return 9 if token[0].isupper() else 0
 
 
-def features(text: str, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and values: logarithms of the counts of words and beginnings of words, scaled to one length, and the shares of shapes, repeats and distinct words."""
+def features(text: str, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of words and of beginnings of words, logarithms of their counts, and the shares of shapes, repeats and distinct words (the last is 1 for no words)."""
     found = text.split()
     n = len(found)
-    if not n:
-        return np.array([BUCKETS + SHAPES]), np.ones(1, np.float32)
-    rows = tokens.rows(found)
-    words = rows[:, 0]
-    seen, often = np.unique(rows[:, :-1], return_counts=True)
-    value = np.log1p(often)
-    value *= LENGTH / np.sqrt(value @ value)
     extra = np.zeros(SHAPES + 1, np.float32)
-    extra[:10] = np.bincount(rows[:, -1], minlength=10)[:10] / n
-    extra[10] = np.mean(words[1:] == words[:-1]) if n > 1 else 0
-    extra[11] = 1 - len(np.unique(words)) / n
-    return np.concatenate([seen, np.arange(BUCKETS, BUCKETS + SHAPES + 1)]), np.concatenate([value.astype(np.float32), 4 * extra])
+    if not n:
+        extra[SHAPES] = 1
+        return np.zeros(0, np.int64), np.zeros(0, np.float32), extra
+    counted = Counter(found)
+    rows = tokens.rows(list(counted))
+    times = np.fromiter(counted.values(), np.int64, len(counted))
+    buckets, place = np.unique(rows[:, :-1], return_inverse=True)
+    often = np.bincount(place.ravel(), np.repeat(times, rows.shape[1] - 1))
+    extra[:10] = np.bincount(rows[:, -1], times, minlength=10)[:10] / n
+    extra[10] = sum(map(eq, found, islice(found, 1, None))) / n
+    extra[11] = 1 - len(counted) / n
+    return buckets, np.log1p(often).astype(np.float32), 4 * extra
 
 
 @dataclass
 class CumulativeLink:
-    """P(grade <= k) = sigmoid(threshold_k - w.x), with one weight vector and increasing thresholds."""
+    """P(grade <= k) = sigmoid(threshold_k - w.x), with one weight vector and increasing thresholds.
 
+    ``rarity`` weighs each bucket by how few documents of the sample have it (0 where too few do); a
+    document's weighed vector is scaled to one length.
+    """
+
+    rarity: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
 
+    def score(self, text: str, tokens: Tokens) -> float:
+        buckets, value, extra = features(text, tokens)
+        value = value * self.rarity[buckets]
+        size = math.sqrt(float(value @ value))
+        return float(value @ self.weights[buckets]) * (LENGTH / size if size else 0.0) + float(extra @ self.weights[BUCKETS:])
+
+    def tail(self, found: list[str], tokens: Tokens) -> np.ndarray:
+        """The grades' probabilities of each text."""
+        return self.probabilities(np.array([self.score(x, tokens) for x in found], np.float64))
+
     def probabilities(self, scores: np.ndarray) -> np.ndarray:
         below = _sigmoid(self.thresholds[None, :] - scores[:, None])
         return np.diff(np.concatenate([np.zeros((len(scores), 1)), below, np.ones((len(scores), 1))], axis=1), axis=1)
@@ -113,45 +133,59 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, grade_count: int = GRADES, steps: int = 150, rate: float = 0.1, ridge: float = 1e-3) -> CumulativeLink:
-    """Maximum likelihood with a ridge, by full-batch Adam.
+def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], grades: np.ndarray, grade_count: int = GRADES, steps: int = 150, rate: float = 0.1, ridge: float = 2e-3) -> CumulativeLink:
+    """Maximum likelihood with a ridge, by full-batch Adam, in blocks of documents.
 
-    The thresholds are a first one and logarithms of the gaps, so they stay in order. Without
-    rows the weights are zero and the thresholds even.
+    The thresholds are a first one and logarithms of the gaps, so they stay in order. Rare grades weigh
+    more, by the root of their rarity. Without rows the weights are zero and the thresholds even.
     """
     thresholds = np.linspace(-1, 1, grade_count - 1)
-    weights = np.zeros(BUCKETS + SHAPES + 1)
-    if not rows:
-        return CumulativeLink(weights.astype(np.float32), thresholds)
-    index = np.concatenate([r[0] for r in rows])
-    value = np.concatenate([r[1] for r in rows])
-    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
-    often = np.bincount(index, minlength=len(weights)) >= min(LEAST_DOCS, len(rows))
-    keep, used = often[index], np.flatnonzero(often)
-    index, value, owner = (np.cumsum(often) - 1)[index[keep]], value[keep], owner[keep]
-    parameters = np.concatenate([np.zeros(len(used)), thresholds[:1], np.log(np.diff(thresholds))])
-    first, second, n, k = np.zeros_like(parameters), np.zeros_like(parameters), len(rows), len(used)
-    # Rare grades count as much as common ones.
+    n, weights = len(rows), np.zeros(BUCKETS + SHAPES + 1, np.float32)
+    if not n:
+        return CumulativeLink(np.zeros(BUCKETS, np.float32), weights, thresholds)
+    seen = np.zeros(BUCKETS, np.int64)
+    for buckets, _, _ in rows:
+        seen[buckets] += 1
+    known = seen >= min(LEAST_DOCS, n)
+    rarity = np.where(known, (np.log(n / np.maximum(seen, 1)) / 3) ** 2, 0)
+    used = np.concatenate([np.flatnonzero(known), np.arange(BUCKETS, BUCKETS + SHAPES + 1)])
+    at = np.zeros(BUCKETS, np.int32)
+    at[known] = np.arange(known.sum(), dtype=np.int32)
+    tail = np.arange(known.sum(), len(used), dtype=np.int32)
+    blocks = []
+    for low in range(0, n, 500):
+        index, value, sizes = [], [], []
+        for buckets, logs, extra in rows[low : low + 500]:
+            mine = known[buckets]
+            v = logs[mine] * rarity[buckets[mine]]
+            size = math.sqrt(float(v @ v))
+            index += [at[buckets[mine]], tail]
+            value += [(v * (LENGTH / size if size else 0.0)).astype(np.float32), extra]
+            sizes.append(len(v) + len(tail))
+        blocks.append((low, np.concatenate(index), np.concatenate(value), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), len(sizes)))
+    k = len(used)
+    parameters = np.concatenate([np.zeros(k), thresholds[:1], np.log(np.diff(thresholds))])
+    first, second = np.zeros_like(parameters), np.zeros_like(parameters)
     share = np.bincount(grades, minlength=grade_count) / n
-    weight = np.where(share[grades] > 0, 1 / np.sqrt(np.maximum(share[grades], 1e-9)), 0)
+    weight = 1 / np.sqrt(share[grades])
     weight /= weight.mean()
     for step in range(1, steps + 1):
         cuts = parameters[k] + np.concatenate([[0], np.cumsum(np.exp(parameters[k + 1 :]))])
-        score = np.bincount(owner, value * parameters[index], minlength=n)
-        edges = np.concatenate([np.full((n, 1), -np.inf), cuts[None, :] - score[:, None], np.full((n, 1), np.inf)], axis=1)
-        below = np.where(np.isinf(edges), edges > 0, _sigmoid(edges))
+        score = np.concatenate([np.bincount(owner, value * parameters[index], minlength=count) for _, index, value, owner, count in blocks])
+        below = np.concatenate([np.zeros((n, 1)), _sigmoid(cuts[None, :] - score[:, None]), np.ones((n, 1))], axis=1)
         lower, upper = below[np.arange(n), grades], below[np.arange(n), grades + 1]
         chance = np.maximum(upper - lower, 1e-12)
-        slope_low, slope_up = lower * (1 - lower), upper * (1 - upper)
-        to_score = weight * (slope_up - slope_low) / chance / n  # of the negative log likelihood
-        to_cuts = np.zeros(grade_count - 1)
-        for g in range(grade_count - 1):
-            to_cuts[g] = -np.sum((weight * slope_up / chance)[grades == g]) / n + np.sum((weight * slope_low / chance)[grades == g + 1]) / n
-        gradient = np.concatenate([np.bincount(index, value * to_score[owner], minlength=k) + ridge * parameters[:k], [to_cuts.sum()], np.cumsum(to_cuts[::-1])[::-1][1:] * np.exp(parameters[k + 1 :])])
+        low_slope, up_slope = weight * lower * (1 - lower) / chance / n, weight * upper * (1 - upper) / chance / n
+        to_score = up_slope - low_slope  # derivatives of the negative log likelihood
+        to_cuts = np.array([low_slope[grades == g + 1].sum() - up_slope[grades == g].sum() for g in range(grade_count - 1)])
+        to_weights = ridge * parameters[:k]
+        for low, index, value, owner, count in blocks:
+            to_weights += np.bincount(index, value * to_score[low : low + count][owner], minlength=k)
+        gradient = np.concatenate([to_weights, [to_cuts.sum()], np.cumsum(to_cuts[::-1])[::-1][1:] * np.exp(parameters[k + 1 :])])
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
         parameters -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
     weights[used] = parameters[:k]
-    return CumulativeLink(weights.astype(np.float32), parameters[k] + np.concatenate([[0], np.cumsum(np.exp(parameters[k + 1 :]))]))
+    return CumulativeLink(rarity.astype(np.float32), weights, parameters[k] + np.concatenate([[0], np.cumsum(np.exp(parameters[k + 1 :]))]))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> CumulativeLink:
@@ -165,12 +199,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Cumulativ
         tokens = Tokens()
         for batch in batches:
             found = [features(x, tokens) for x in texts(batch)]
-            blobs = [pa.array([x[i].astype(t).tobytes() for x in found], pa.binary()) for i, t in ((0, "<i4"), (1, "<f4"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), *blobs], names=["doc_id", "grade", "i", "v"])
+            blobs = [pa.array([x[i].astype(t).tobytes() for x in found], pa.binary()) for i, t in ((0, "<i4"), (1, "<f2"), (2, "<f4"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), *blobs], names=["doc_id", "grade", "b", "v", "x"])
 
-    got = map_arrow(rows, kernel, "doc_id long, grade int, i binary, v binary").toArrow().sort_by("doc_id").to_pydict() if sample else {"i": [], "v": [], "grade": []}
-    pairs = [(np.frombuffer(i, "<i4"), np.frombuffer(v, "<f4")) for i, v in zip(got["i"][:sample], got["v"][:sample], strict=True)]
-    return fit(pairs, np.array(got["grade"][:sample], np.int64))
+    if sample <= 0:
+        return fit([], np.zeros(0, np.int64))
+    # The rows that are collected are as many as the sample, not the input.
+    got = map_arrow(rows, kernel, "doc_id long, grade int, b binary, v binary, x binary").toArrow().sort_by("doc_id")[:sample]
+    parts = zip(*[got.column(c) for c in "bvx"], strict=True)
+    found = [tuple(np.frombuffer(x.as_buffer(), t) for x, t in zip(row, ("<i4", "<f2", "<f4"), strict=True)) for row in parts]
+    return fit(found, got.column("grade").to_numpy().astype(np.int64))
 
 
 def grade_documents(docs: DataFrame, model: CumulativeLink, threshold: float = THRESHOLD) -> DataFrame:
@@ -183,10 +221,9 @@ def grade_documents(docs: DataFrame, model: CumulativeLink, threshold: float = T
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, weights = Tokens(), model.weights
+        tokens = Tokens()
         for batch in batches:
-            scores = np.array([float(v @ weights[i]) for i, v in (features(x, tokens) for x in texts(batch))])
-            chances = model.probabilities(scores)
+            chances = model.tail(texts(batch), tokens)
             tail = chances[:, -1]
             columns = [pa.array(chances @ np.arange(chances.shape[1])), pa.array(tail), pa.array(chances.argmax(axis=1).astype(np.int32)), pa.array(tail >= threshold)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
@@ -199,10 +236,9 @@ def keep_documents(docs: DataFrame, model: CumulativeLink, threshold: float = TH
     at = docs.columns.index("text")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, weights = Tokens(), model.weights
+        tokens = Tokens()
         for batch in batches:
             found = [x or "" for x in batch.column(at).to_pylist()]
-            scores = np.array([float(v @ weights[i]) for i, v in (features(x, tokens) for x in found)])
-            yield batch.filter(pa.array(model.probabilities(scores)[:, -1] >= threshold))
+            yield batch.filter(pa.array(model.tail(found, tokens)[:, -1] >= threshold))
 
     return map_arrow(docs, kernel, docs.schema)
