@@ -1 +1 @@
-"""Readers and writers."""
+"""Readers and writers: typed text tables, label files, archives, JSON lines, guarded outputs."""
