@@ -63,7 +63,7 @@ def read_labels(spark: SparkSession, path: str, strict: bool = False) -> DataFra
     Blank lines and lines of fewer than five fields are skipped. ``strict`` fails on a line without exactly five fields, or out of range.
     A file is one record, so line numbers need no order of a shuffle.
     """
-    files = spark.read.option("wholetext", True).text(path).select(names.stem(F.col("_metadata.file_path")).alias("image"), F.split("value", "\r?\n").alias("lines"))
+    files = spark.read.text(path, wholetext=True).select(names.stem(F.col("_metadata.file_path")).alias("image"), F.split("value", "\r?\n").alias("lines"))
     rows = files.select("image", F.posexplode("lines").alias("at", "row")).where(F.trim("row") != "")
     parts = F.split(F.trim("row"), r"\s+")
     cell = lambda i, kind: F.try_element_at(parts, F.lit(i + 1)).try_cast(kind)
