@@ -20,6 +20,8 @@ SAMPLE = 20_000
 BLOCK, SIGMAS = 16, 2.5
 #: Vectors of a list, about; the share of the sample's true neighbours that the probed lists must hold; sample vectors that give queries a first bound.
 LIST, SHARE, ANCHORS = 1000, 0.96, 2048
+#: Lists that a query scans first, to get a closer bound for the others.
+FIRST = 3
 #: Rows of a list's part, and of the queries that meet it, in one group.
 PART, ASKING = 4096, 2048
 TOP = 20
@@ -120,13 +122,19 @@ def adaptive_scan(query: np.ndarray, points: np.ndarray, top: int, bound: float
     return places[near], read
 
 
+def _best(hits: DataFrame, count: int) -> DataFrame:
+    """The best hits of each asker; a vector counts once."""
+    order = Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id")
+    return hits.groupBy("asker", "vec_id").agg(F.max("score").alias("score")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= count).select("asker", "score", "vec_id")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, lists: int | None = None, probes: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for each vector of ``queries`` the nearest others of ``vectors`` by inner product.
 
     Equal vectors are one class: at most ``top`` + 1 smallest ids of a class can
     be in a result, and equal queries are searched once. So a vector with any number of
     copies is scanned once. Each class is in its nearest list, each query asks its
-    ``probes`` nearest lists. Lists and their queries are cut into parts, so a
+    ``probes`` nearest lists, a few first for a close bound. Lists and their queries are cut into parts, so a
     group is bounded however large a list. Scores are double-precision inner
     products of the original vectors; ties go to the smaller vec_id. Vectors
     that take no part (see :func:`usable`) are neither queries nor results; a
@@ -175,15 +183,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, lists: int |
 
     placed = cut(map_arrow(classes.select("class", "embedding", "members"), assign, "class string, embedding array<double>, members array<long>, list int"))
     probing = cut(map_arrow(classes.where("asks").select("class", "embedding"), probe, "asker string, query array<double>, lists array<int>, bound double"))
-    ask = probing.select("asker", "query", "bound", F.explode("lists").alias("list"))
-    # How many parts each list and its queries are cut into; as many rows as there are lists, 4096 at most.
-    parts = placed.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    turns = ask.groupBy("list").agg(F.ceil(F.count("*") / ASKING).cast("int").alias("turns"))
-    split = F.broadcast(cut(parts.join(turns, "list")))
-    part, turn = F.pmod(F.xxhash64("class"), F.col("parts").cast("long")).cast("int"), F.pmod(F.xxhash64("asker"), F.col("turns").cast("long")).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    held = placed.join(split, "list").withColumn("part", part).withColumn("turn", every("turns")).drop("parts", "turns")
-    come = ask.join(split, "list").withColumn("turn", turn).withColumn("part", every("parts")).drop("parts", "turns")
+    # How many parts each list is cut into; as many rows as there are lists, 4096 at most.
+    parts = cut(placed.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")))
 
     def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"asker": [], "score": [], "vec_id": []}
@@ -206,6 +208,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, lists: int |
                         out["vec_id"].append(vec_id)
         return pd.DataFrame(out).astype({"score": "float64", "vec_id": "int64"})
 
+    def scanned(ask: DataFrame) -> DataFrame:
+        """Rows (asker, score, vec_id) of what queries (asker, query, bound, list) find. Lists and their queries meet in blocks of bounded size."""
+        turns = ask.groupBy("list").agg(F.ceil(F.count("*") / ASKING).cast("int").alias("turns"))
+        split = F.broadcast(cut(parts.join(turns, "list")))
+        part, turn = F.pmod(F.xxhash64("class"), F.col("parts").cast("long")).cast("int"), F.pmod(F.xxhash64("asker"), F.col("turns").cast("long")).cast("int")
+        held = placed.join(split, "list").withColumn("part", part).withColumn("turn", every("turns")).drop("parts", "turns")
+        come = ask.join(split, "list").withColumn("turn", turn).withColumn("part", every("parts")).drop("parts", "turns")
+        return held.groupBy("list", "part", "turn").cogroup(come.groupBy("list", "part", "turn")).applyInPandas(scan, "asker string, score double, vec_id long")
+
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = _matrix(batch.column("query"), width) @ model.anchors.T
@@ -216,9 +227,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, lists: int |
 
     # The anchors that gave the first bound are found already, so no query is left with fewer than its share.
     known = map_arrow(probing.select("asker", "query"), anchored, "asker string, score double, vec_id long")
-    hits = held.groupBy("list", "part", "turn").cogroup(come.groupBy("list", "part", "turn")).applyInPandas(scan, "asker string, score double, vec_id long").unionByName(known).groupBy("asker", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id")
-    best = hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top + 1)
+    # The nearest few lists first: what they give is a bound that leaves little of the other lists, however many these are.
+    near_lists = scanned(probing.select("asker", "query", "bound", F.explode(F.slice("lists", 1, FIRST)).alias("list")))
+    early = cut(_best(near_lists.unionByName(known), top + 1))
+    worst = early.groupBy("asker").agg(F.min("score").alias("worst"), F.count("*").alias("n"))
+    closer = F.aggregate("query", F.lit(size["m"] ** 2 + 1e-9), lambda a, x: a + x * x) - 2 * F.col("worst")
+    later = probing.join(worst, "asker").withColumn("bound", F.when(F.col("n") > top, F.least("bound", closer)).otherwise(F.col("bound")))
+    rest = F.when(F.size("lists") > FIRST, F.slice("lists", FIRST + 1, 4096)).otherwise(F.expr("cast(array() as array<int>)"))
+    hits = scanned(later.select("asker", "query", "bound", F.explode(rest).alias("list"))).unionByName(early)
+    best = _best(hits, top + 1)
     answers = cut(best.groupBy("asker").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))).alias("near")))
     own = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, top)
     result = asking.join(answers.withColumnRenamed("asker", "class"), "class").select("query_id", F.posexplode(own).alias("at", "hit"))
