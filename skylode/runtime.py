@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_own: dict[str, str] = {}
 
 
 def session(cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -34,10 +35,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='skylode-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    app = spark.sparkContext.applicationId
+    return named or _own.setdefault(app, f"file://{tempfile.mkdtemp(prefix='skylode-')}")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -55,14 +54,6 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(*tables: DataFrame) -> None:
-    """Deletes tables that :func:`cut` wrote and that no later plan reads."""
-    for df in tables:
-        for spark, path in [x for x in _written if any(x[1].rsplit("/", 1)[1] in f for f in df.inputFiles()[:1])]:
-            _delete(spark, path)
-            _written.remove((spark, path))
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
