@@ -21,19 +21,35 @@ CROWD = 512
 PIVOTS = 16
 
 
-def fingerprint(text: str, words: int) -> int:
-    """The 64 bits set in over half of the shingles' XXH64 values; zero where there are no words."""
+#: For texts that are alike to a degree: hash functions of the sketch, bands of two of them, bits by which fingerprints may differ,
+#: and the size up to which all pairs of a band's bucket are compared.
+HASHES, BANDED, ALIKE_BITS, SMALL_BUCKET = 256, 10, 18, 64
+#: Leaders that the members of a larger bucket are compared with, in turn.
+LEADERS = 3
+
+
+def _shingles(text: str, words: int) -> tuple[np.ndarray, int]:
+    """XXH64 values of the shingles, repeats included, as rows of 8 bytes, the most significant first; and how many there are."""
     import xxhash
 
     found = text.encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return 0
+        return np.zeros((0, 8), np.uint8), 0
     joined = [b" ".join(z) for z in zip(*(found[i:] for i in range(words)), strict=False)] or [b" ".join(found)]
-    raw = np.frombuffer(b"".join([xxhash.xxh64_digest(x, SEED) for x in joined]), dtype=np.uint8).reshape(-1, 8)
+    return np.frombuffer(b"".join([xxhash.xxh64_digest(x, SEED) for x in joined]), dtype=np.uint8).reshape(-1, 8), len(joined)
+
+
+def _majority(raw: np.ndarray, count: int) -> int:
     # How often each byte value stands at each of the 8 places, then how often each bit is set.
     seen = np.bincount((raw + np.arange(0, 2048, 256)).ravel(), minlength=2048).reshape(8, 256)
     ones = seen @ np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(joined)).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * ones > count).tobytes(), "big")
+
+
+def fingerprint(text: str, words: int) -> int:
+    """The 64 bits set in over half of the shingles' XXH64 values; zero where there are no words."""
+    raw, count = _shingles(text, words)
+    return _majority(raw, count) if count else 0
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -47,6 +63,33 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), kernel, "doc_id long, fp long")
 
 
+def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
+    """Rows (doc_id, fp, sketch array<long>, keys array<long>): fingerprints, two bits of each of the smallest hash values, and keys of pairs of these."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        random = np.random.default_rng(SEED)
+        times = random.integers(1, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+        for batch in batches:
+            fps, bits, keys = [], [], []
+            for text in texts(batch):
+                raw, count = _shingles(text, words)
+                fps.append(_majority(raw, count) if count else 0)
+                low = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+                # The last bytes vary as freely as any; mixed, so that a product orders them differently for each function.
+                own = np.unique(raw[:, 4:].copy().view(">u4").ravel().astype(np.uint32)) if count else np.zeros(0, np.uint32)
+                for at in range(0, len(own), 4096):
+                    product = own[at : at + 4096, None] * times[None, :]
+                    low = np.minimum(low, (product ^ (product >> np.uint32(15))).min(axis=0))
+                two = np.unpackbits((low & np.uint32(3)).astype(np.uint8)[:, None], axis=1)[:, -2:]
+                bits.append(np.packbits(two.ravel()).view(np.int64))
+                pair = low[: 2 * BANDED].astype(np.uint64)
+                keys.append(((pair[0::2] << np.uint64(32) | pair[1::2]) * np.uint64(0x9E3779B97F4A7C15) + np.arange(BANDED, dtype=np.uint64)).view(np.int64))
+            lists = [pa.array([x.tolist() for x in c], pa.list_(pa.int64())) for c in (bits, keys)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), *lists], names=["doc_id", "fp", "sketch", "keys"])
+
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), kernel, "doc_id long, fp long, sketch array<long>, keys array<long>")
+
+
 def pivots(count: int = PIVOTS) -> list[int]:
     """Reference fingerprints: a fixed multiplicative sequence, signed."""
     return [((i + 1) * 0x9E3779B97F4A7C15 * ((i << 1) + 0x2545F491) + 0x1B873593 * i) % (1 << 64) - (1 << 63) for i in range(count)]
@@ -129,6 +172,64 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, crowd: i
     return found.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
+def alike_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = ALIKE_BITS) -> DataFrame:
+    """Rows (doc_id, component_id), one for each row of ``docs``: components of texts whose shingle sets are alike to this degree.
+
+    At 0.8 the fingerprints of two texts differ by ten bits or so, too many for keys that lose no pair, so
+    candidates share the two smallest hash values of one of ten bands: at 0.8 all bands
+    miss with probability (1 - 0.8^2)^10 < 1e-4. Pivot distances discard those whose largest coordinate
+    difference is over ``bits``, then the fingerprints must differ by no more than that, and the share of
+    equal pairs of bits in the sketches, less what chance gives, must reach the similarity (less one
+    standard error of it, 0.03).
+
+    Buckets of up to 64 are compared pair by pair. The members of a larger one, such as thousands of copies of a text,
+    are compared with a leader, those unlike it with a second, and so on, and the last few left over with each other. So a bucket gives
+    no more links than members. Leaders differ from band to band, so a member that its leader misses in one band has nine others.
+
+    Equal texts are one class. Null texts count as empty; texts without words are alike. A null doc_id keeps its row
+    and is no component's id unless the component has no other. Repeated rows stay repeated; an empty table gives no rows.
+    """
+    found = cut(sketches(docs, words))
+    same = ["fp", "sketch"]
+    classes = cut(found.groupBy(*same).agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")).withColumn("node", F.coalesce("least", F.xxhash64(*same))))
+    coordinates = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("tinyint").alias(f"d{i}") for i, p in enumerate(pivots())]
+    keyed = classes.select("node", "fp", "sketch", *coordinates, F.explode("keys").alias("key"))
+    shared = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    rows = cut(keyed.join(shared, "key"))
+
+    def alike(a: str, b: str) -> Column:
+        far = F.greatest(*[F.abs(F.col(f"{a}.d{i}").cast("int") - F.col(f"{b}.d{i}")) for i in range(PIVOTS)])
+        differ = F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))
+        unequal = F.lit(0)
+        for i in range(HASHES // 32):
+            x = F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])
+            unequal = unequal + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+        share = (F.lit(1.0) - unequal / F.lit(float(HASHES)) - 0.25) / 0.75
+        return (far <= bits) & (F.bit_count(differ) <= bits) & (share >= similarity - 0.03)
+
+    def pairs(of: DataFrame) -> DataFrame:
+        a, b = of.alias("a"), of.alias("b")
+        return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & alike("a", "b")).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+
+    links = pairs(rows.where(F.col("n") <= SMALL_BUCKET))
+    left = rows.where(F.col("n") > SMALL_BUCKET).drop("n")
+    if not left.isEmpty():
+        for _ in range(LEADERS):
+            # The leader is the first in an order of the band's own; a partial aggregate finds it.
+            order = F.xxhash64("key", "node")
+            leaders = cut(left.groupBy("key").agg(F.min_by(F.struct(*[c for c in left.columns if c != "key"]), order).alias("l")).select("key", "l.*"))
+            a, b = left.alias("a"), leaders.alias("b")
+            met = cut(a.join(b, F.col("a.key") == F.col("b.key")).select("a.*", F.col("b.node").alias("leader"), alike("a", "b").alias("like")))
+            links = links.unionByName(met.where("like and node != leader").select(F.col("leader").alias("u"), F.col("node").alias("v")))
+            left = met.where("not like").drop("leader", "like")
+        few = left.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n").between(2, SMALL_BUCKET)).select("key")
+        links = links.unionByName(pairs(cut(left.join(few, "key"))))
+    groups = connected_components(links)
+    labels = cut(classes.join(groups, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"), F.col("least")))
+    known = labels.select(*same, F.when(F.col("least").isNull() & (F.col("component_id") == F.xxhash64(*same)), None).otherwise(F.col("component_id")).alias("component_id"))
+    return found.select("doc_id", *same).join(known, same).select("doc_id", "component_id")
+
+
 def hex64(fp: str = "fp") -> Column:
     """16 lowercase hex digits of a signed 64-bit integer."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -127,7 +127,7 @@ def test_stages_keep_the_columns_and_take_effect(spark, tmp_path):
     assert dedup.exact_duplicates(held).where("group_size > 1").count() == 0
     assert secrets.scan_secrets(held).where("n_assign + n_access + n_hex > 0").count() == 0
     before = spark.read.parquet(f"{tmp_path}/exact_dedup")
-    components = simhash.near_duplicates(before, words=5).select("component_id").distinct().count()
+    components = simhash.alike_documents(before).select("component_id").distinct().count()
     assert spark.read.parquet(f"{tmp_path}/near_dedup").count() == components
     packed = cp.run(spark, SMALL)
     assert packed.select("doc_id").distinct().count() == held.count()

@@ -341,3 +341,42 @@ def test_links_connect_what_brute_force_connects(spark, crowd):
     for i, a in enumerate(signed):
         for b in signed[:i]:
             assert (root(a) == root(b)) == (label.get(a, a) == label.get(b, b))
+
+
+def alike_groups(texts, words_=5, least=0.8):
+    sets = [{tuple(w[i : i + words_]) for i in range(len(w) - words_ + 1)} or {tuple(w)} for w in ((t or "").lower().split() for t in texts)]
+    return [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= least]
+
+
+@pytest.mark.parametrize("small", [64, 3])
+def test_alike_texts_are_together_and_others_apart(spark, monkeypatch, small):
+    monkeypatch.setattr(simhash, "SMALL_BUCKET", small)
+    r = random.Random(3)
+    stock = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(3000)]
+    texts = [" ".join(r.choice(stock) for _ in range(r.randint(80, 300))) for _ in range(60)]
+    for t in texts[:25]:
+        for changes in (1, 2, 6):
+            w = t.split()
+            for _ in range(changes):
+                w[r.randrange(len(w))] = "other"
+            texts.append(" ".join(w))
+    for _ in range(40):  # a large group around one text
+        w = texts[30].split()
+        w[r.randrange(len(w))] = r.choice(stock)
+        texts.append(" ".join(w))
+    d = docs(spark, texts)
+    rows = d.collect()
+    out = simhash.alike_documents(d).collect()
+    assert len(out) == len(rows)
+    label = {x.doc_id: x.component_id for x in out if x.doc_id is not None}
+    links = alike_groups(texts, least=0.84)
+    assert sum(label[i] == label[j] for i, j in links) >= 0.99 * len(links) and links
+    apart = alike_groups(texts, least=0.3)
+    grouped = {(i, j) for i in range(len(texts)) for j in range(i) if label[i] == label[j]}
+    near = defaultdict(set)
+    for i, j in apart:
+        near[i].add(j)
+        near[j].add(i)
+    assert all(near[i] and near[j] for i, j in grouped)
+    assert all(label[i] <= i for i in label)
+    assert simhash.alike_documents(d.limit(0)).count() == 0
