@@ -11,7 +11,7 @@ from skylode.functions import boxes as b
 from skylode.operators.audits import require, unique
 from skylode.operators.graph import connected_components
 from skylode.operators.matching import crowded
-from skylode.operators.similarity import hamming_pairs
+from skylode.operators.similarity import hamming_links
 
 #: The distances of review priorities, and the order of error types as references.
 P0_BITS, P1_BITS = 0, 1
@@ -59,7 +59,7 @@ def copy_components(rows: DataFrame, distance: int = 2, unions: DataFrame | None
     """Rows (id, component) of all rows (id, sha, phash): linked by equal content, by near perceptual hashes, and by reviewed unions (left_id, right_id). A component's name is its smallest id."""
     by_sha = rows.where("sha is not null").groupBy("sha").agg(F.min("id").alias("u"))
     equal = rows.join(by_sha, "sha").where("id != u").select("u", F.col("id").alias("v"))
-    near = hamming_pairs(rows, distance, "phash").select(F.col("left_id").alias("u"), F.col("right_id").alias("v"))
+    near = hamming_links(rows, distance, "phash")
     links = equal.unionByName(near)
     if unions is not None:
         links = links.unionByName(unions.select(F.col("left_id").alias("u"), F.col("right_id").alias("v")))

@@ -42,6 +42,15 @@ def hamming_pairs(rows: DataFrame, distance: int, hash_: str = "hash", key: str
     return pairs.select(F.least("lid", "rid").alias("left_id"), F.greatest("lid", "rid").alias("right_id"), hamming(F.col("lh"), F.col("rh")).cast("long").alias("distance"))
 
 
+def hamming_links(rows: DataFrame, distance: int, hash_: str = "hash", key: str = "id") -> DataFrame:
+    """Rows (u, v) that connect what :func:`hamming_pairs` pairs, with one link for each copy of a hash instead of all pairs of copies."""
+    own = rows.select(F.col(key).alias("id"), F.col(hash_).alias("h")).where("h is not null and id is not null")
+    first = own.groupBy("h").agg(F.min("id").alias("first"))
+    copies = own.join(first, "h").where("id != first").select(F.col("first").alias("u"), F.col("id").alias("v"))
+    near = hamming_pairs(first, distance, "h", "first").select(F.col("left_id").alias("u"), F.col("right_id").alias("v"))
+    return copies.unionByName(near)
+
+
 def bit_flip_keys(hash_: Column, chunks: int = 4, width: int = 16) -> Column:
     """Blocking keys that tolerate one bit in each chunk: chunk number and value, exact and with each bit flipped."""
     keys = []

@@ -50,8 +50,7 @@ def hamming_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = similarity.hamming_pairs(_hashes(spark, sf_dir), 1)
-    return connected_components(pairs, "left_id", "right_id")
+    return connected_components(similarity.hamming_links(_hashes(spark, sf_dir), 1))
 
 
 def cosine_cross_split_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
