@@ -37,10 +37,12 @@ CUES = {
     "card_like": "card|visa|mastercard|amex|credit|debit|pay",
     "id_like": "ssn|social|security|identity|passport|national",
 }
+#: Ends of host names, and words that speak against a candidate.
+ENDINGS = "com|org|net|edu|gov|info|io|co|de|fr|es|uk"
 AGAINST = "order|invoice|version|isbn|page|serial|build|model|ref|sku|batch|part"
 #: Synthetic candidates that the trees are fitted and calibrated on, and the precision that thresholds are set for.
 SAMPLE, PRECISION, TREES, DEPTH, RATE = 3000, 0.97, 24, 3, 0.3
-FEATURES = ("kind", "digits", "length", "runs", "luhn", "cue", "against", "joined_before", "joined_after", "distinct", "marks", "at")
+FEATURES = ("kind", "digits", "length", "runs", "luhn", "cue", "against", "joined_before", "joined_after", "distinct", "marks", "at", "ending", "sentence")
 _BEFORE, _AFTER = 28, 6
 
 
@@ -106,6 +108,8 @@ def _features(kind: str, number: int, m: Column, before: Column, after: Column)
         "distinct": F.size(F.array_distinct(F.split(digits, ""))),
         "marks": F.size(F.array_distinct(F.split(F.regexp_replace(m, "[0-9A-Za-z]", ""), ""))),
         "at": flag(F.lower(m).rlike(r"@|\[at\]|\(at\)")),
+        "ending": flag(F.lower(m).rlike(rf"(?:[. ]|dot[\])]) ?(?:{ENDINGS})$")),
+        "sentence": flag(m.rlike(r"[.] |[.]\p{Lu}")),
     }
 
 
@@ -123,9 +127,10 @@ def synthetic(count: int = SAMPLE, seed: int = 11) -> list[tuple[str, str, str,
         kind, real = r.choice(tuple(GENERATORS)), r.random() < 0.5
         sep = r.choice(" -.")
         if kind == "email_like":
-            at = r.choice(["[at]", " [at] ", "(at)", "@"]) if real else " at "
-            dot = r.choice(["[dot]", " dot ", "."]) if real else "."
-            m = f"{word()}{at}{word()}{dot}{r.choice(['com', 'org', 'net', 'io']) if real else word()}"
+            at = r.choice(["[at]", " [at] ", "(at)", "@", " at "]) if real else r.choice([" at ", " at ", "@"])
+            dot = r.choice(["[dot]", " dot ", "."]) if real and at != " at " else " dot " if real else r.choice([".", ". ", ". ", " dot "])
+            last = r.choice(ENDINGS.split("|")) if real else word()[: r.randint(2, 8)].ljust(2, "n")
+            m = f"{word()}{at}{word()}{dot}{last.capitalize() if dot == '. ' else last}"
         elif kind == "phone_like":
             m = sep.join([f"({number(3)})" if r.random() < 0.4 else number(3), number(3), number(4)]) if real else sep.join([number(r.choice([2, 4])), number(2), number(r.choice([2, 4]))])
         elif kind == "card_like":
