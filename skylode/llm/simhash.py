@@ -25,7 +25,7 @@ PIVOTS = 16
 #: and the size up to which all pairs of a band's bucket are compared.
 HASHES, BANDED, ALIKE_BITS, SMALL_BUCKET = 256, 10, 18, 64
 #: Leaders that the members of a larger bucket are compared with, in turn.
-LEADERS = 3
+LEADERS, LEADER_SALTS = 3, 16
 
 
 def _shingles(text: str, words: int) -> tuple[np.ndarray, int]:
@@ -218,8 +218,11 @@ def alike_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, bi
             # The leader is the first in an order of the band's own; a partial aggregate finds it.
             order = F.xxhash64("key", "node")
             leaders = cut(left.groupBy("key").agg(F.min_by(F.struct(*[c for c in left.columns if c != "key"]), order).alias("l")).select("key", "l.*"))
-            a, b = left.alias("a"), leaders.alias("b")
-            met = cut(a.join(b, F.col("a.key") == F.col("b.key")).select("a.*", F.col("b.node").alias("leader"), alike("a", "b").alias("like")))
+            # Members are salted, and each leader goes to every salt: the members of one bucket spread over that many tasks.
+            a = left.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(LEADER_SALTS))).alias("a")
+            b = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LEADER_SALTS - 1).cast("long")))).alias("b")
+            both = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.salt") == F.col("b.salt")))
+            met = cut(both.select(*[F.col(f"a.{c}").alias(c) for c in left.columns], F.col("b.node").alias("leader"), alike("a", "b").alias("like")))
             links = links.unionByName(met.where("like and node != leader").select(F.col("leader").alias("u"), F.col("node").alias("v")))
             left = met.where("not like").drop("leader", "like")
         few = left.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n").between(2, SMALL_BUCKET)).select("key")
