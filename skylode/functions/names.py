@@ -115,7 +115,7 @@ def scene_family(scene: Column) -> Column:
     parts = F.split(scene, "_")
     numbers = parts[0].rlike(r"^\d+$") & F.coalesce(F.try_element_at(parts, F.lit(2)).rlike(r"^\d+$"), F.lit(False))
     return (
-        F.when(scene.rlike(r"L\d{11}"), "L-number")
+        F.when(scene.rlike(r"L\d{5,}"), "L-number")
         .when(F.substring(scene, 1, 4).isin("AUAU", "AUJP", "LQSP"), F.concat(F.substring(scene, 1, 4), F.lit("*")))
         .when(numbers, F.concat(parts[0], F.lit("_"), F.try_element_at(parts, F.lit(2)), F.lit("_*")))
         .otherwise(F.concat(F.lit("other:"), F.substring(parts[0], 1, 16)))

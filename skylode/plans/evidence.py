@@ -163,10 +163,10 @@ def result_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(out, "delta_map50_95", "delta_f1_ship", "delta_f1_aircraft", "delta_f1_vehicle")
 
 
-_RESULT = f"""WITH c AS (SELECT c_nationkey AS k, CAST(sum(floor(c_acctbal)) AS BIGINT) % 23 AS v FROM customer GROUP BY 1),
+_MODELS = """WITH c AS (SELECT c_nationkey AS k, CAST(sum(floor(c_acctbal)) AS BIGINT) % 23 AS v FROM customer GROUP BY 1),
 m AS (SELECT 'C' || CAST(k AS VARCHAR) AS model, CAST(0.8 AS DOUBLE) + (k % 5) / 1000.0::DOUBLE AS mp, CAST(0.84 AS DOUBLE) + (k % 7) / 100.0::DOUBLE AS recall, CAST(0.15 AS DOUBLE) + (k % 8) / 100.0::DOUBLE AS fdr, CAST(0.9 AS DOUBLE) + (k % 3) / 100.0::DOUBLE AS ship,
- CAST(0.99 AS DOUBLE) - (k % 4) / 500.0::DOUBLE AS air, CAST(0.78 AS DOUBLE) + v / 1000.0::DOUBLE AS veh, k % 9 <> 5 AS kd, coalesce(k % 11 <> 7, false) AS dep FROM c),
-x AS (SELECT m.model, m.recall >= 0.85 AS c1, m.fdr <= 0.2 AS c2, m.mp - b.mp >= -0.002 AS c3, m.air - b.air >= -0.005 AS c4, greatest(m.ship - b.ship, m.veh - b.veh) >= 0.005 AS c5, m.kd, m.dep, m.mp - b.mp AS d1, m.ship - b.ship AS d2, m.air - b.air AS d3, m.veh - b.veh AS d4
+ CAST(0.99 AS DOUBLE) - (k % 4) / 500.0::DOUBLE AS air, CAST(0.78 AS DOUBLE) + v / 1000.0::DOUBLE AS veh, k % 9 <> 5 AS kd, coalesce(k % 11 <> 7, false) AS dep FROM c)"""
+_RESULT = f"""{_MODELS}, x AS (SELECT m.model, m.recall >= 0.85 AS c1, m.fdr <= 0.2 AS c2, m.mp - b.mp >= -0.002 AS c3, m.air - b.air >= -0.005 AS c4, greatest(m.ship - b.ship, m.veh - b.veh) >= 0.005 AS c5, m.kd, m.dep, m.mp - b.mp AS d1, m.ship - b.ship AS d2, m.air - b.air AS d3, m.veh - b.veh AS d4
  FROM m, (SELECT * FROM m WHERE model = 'C0') b WHERE m.model <> 'C0')
 SELECT model, c1 AND c2 AND c3 AND c4 AND c5 AND kd AND dep AS passed,
 concat_ws(';', CASE WHEN NOT c1 THEN 'competition_recall' END, CASE WHEN NOT c2 THEN 'competition_fdr' END, CASE WHEN NOT c3 THEN 'map_noninferiority' END, CASE WHEN NOT c4 THEN 'aircraft_noninferiority' END, CASE WHEN NOT c5 THEN 'weak_group_gain' END, CASE WHEN NOT kd THEN 'kd_health' END, CASE WHEN NOT dep THEN 'deploy_parity' END) AS failed,
@@ -237,6 +237,7 @@ bool_and(coalesce(epoch > before, true)) AS monotonic FROM o GROUP BY run_id""",
 SELECT experiment, count(*) AS records, count(*) FILTER (healthy) AS healthy, NOT bool_or(bad) AS all_finite, round(avg(value) FILTER (NOT bad), 6) AS mean_loss, round(min(value) FILTER (NOT bad), 6) AS least_loss, round(max(value) FILTER (NOT bad), 6) AS most_loss,
 NOT bool_or(bad) AND bool_and(healthy) AS health_pass FROM h GROUP BY experiment""",
     "result_gate": _RESULT,
+    "safety_gate": _MODELS + " SELECT model, recall >= 0.85 AS recall_ok, fdr <= 0.2 AS alarm_ok, recall >= 0.85 AND fdr <= 0.2 AND CASE WHEN length(model) > 2 THEN recall < 0.89 END AS gate FROM m",
     "nested_manifest": """WITH t AS (SELECT conv_id, count(*) AS n_turns, string_agg(role, ';' ORDER BY turn, role) AS roles FROM conversations GROUP BY conv_id)
 SELECT conv_id, n_turns, roles, sha256('{"conv":' || CAST(conv_id AS VARCHAR) || ',"roles":"' || roles || '"}') AS sha FROM t""",
     "tile_grid": """WITH s AS (SELECT p_partkey, greatest(p_size * 100 + 200 - 800, 0) AS last FROM part)

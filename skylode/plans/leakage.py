@@ -149,6 +149,22 @@ def name_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("n_nationkey", names.stem(F.col("f")).alias("stem"), c.alias("conservative"), names.strict_scene(F.col("f")).alias("strict"), names.source_family(c, F.col("f")).alias("family"), added["scene"].alias("added"), added["family"].alias("added_family"), names.added_key(F.col("f")).alias("added_key"), crop["product"].alias("product"), names.derived_scene(F.col("f")).alias("derived"), names.scene_family(names.stem(F.col("f"))).alias("scene_family"), names.entry_split(F.col("f")).alias("split"))
 
 
+#: What the rules give for each form of name, worked out by hand: conservative, strict, family, added, added_family, added_key, product, derived, scene_family.
+_P, _L, _W, _F = "02-PAN-20240305-11-22-L00000012345", "E103.9_N1.2_20230101_L1A0000123", "W120.5_S3.5_20230101_L1A0000124", "fsc_a-N12.5-E100.25_x"
+_IDENTITIES = (
+    ("pan_strip:02-PAN-20240305-11", f"satellite:{_P}", "official_pan_l_product", f"added_single:{_P}-CCD3_5_crop7", "added_other", f"single:{_P}-CCD3_5_crop7", _P, "L00000012345", "L-number"),
+    ("geo_site:+104:+01", f"l1a:{_L}", "official_coordinate_l1a", f"added_single:{_L}-PAN2_crop1", "added_other", f"single:{_L}-PAN2_crop1", _L, _L, "other:E103.9"),
+    ("geo_site:-120:-04", f"l1a:{_W}", "official_coordinate_l1a", f"added_single:{_W}-PAN1", "added_other", f"single:{_W}-PAN1", _W, _W, "other:W120.5"),
+    ("fsc:N12.5:E100.25", "fsc:N12.5:E100.25", "official_fsc_location", f"added_single:{_F}", "added_other", f"single:{_F}", _F, _F, "other:fsc"),
+    ("mar20:MAR20_17", "mar20:MAR20_17", "official_mar20", "added_single:MAR20_17", "added_other", "single:MAR20_17", "MAR20_17", "MAR20_17", "other:MAR20"),
+    ("1_3_100_10300", "1_3_100_10300", "official_other", "added_numeric:1_3_100", "added_numeric_ship", "numeric:1_3_100", "1_3_100_10300", "1_3_100_10300", "1_3_*"),
+    ("AURU12034", "AURU12034", "official_other", "added_sequence:AURU12", "added_au_ru_launcher", "sequence:AURU12", "AURU12034", "AURU12034", "other:AURU12034"),
+    ("P0080 (2)", "P0080 (2)", "official_other", "added_p:P0080", "added_p_ship", "single:P0080 (2)", "P0080 (2)", "P0080 (2)", "other:P0080 (2)"),
+    ("launch7", "launch7", "official_other", "added_single:launch7_crop3", "added_other", "single:launch7_crop3", "launch7", "launch7", "other:launch7"),
+    ("L00000010061_2", "L00000010061_2", "official_other", "added_single:L00000010061_2", "added_other", "single:L00000010061_2", "L00000010061_2", "L00000010061", "L-number"),
+)
+_NAMED = ", ".join("(" + ", ".join([str(i), f"'{f.rpartition('.')[0]}'", *(f"'{x}'" for x in row)]) + ")" for i, (f, row) in enumerate(zip(_FILES, _IDENTITIES, strict=True)))
+
 _M = f"WITH {MANIFEST_SQL}"
 _GROUPS = "SELECT {0}, string_agg(DISTINCT split, ';' ORDER BY split) AS splits, count(DISTINCT split) AS n_splits, count(*) AS rows FROM m GROUP BY {0} HAVING count(DISTINCT split) > 1"
 
@@ -179,4 +195,5 @@ c AS (SELECT u AS node, u AS root FROM (SELECT DISTINCT u FROM q) UNION SELECT q
 SELECT CASE WHEN NOT c THEN 'unknown' WHEN n = 0 THEN 'unreviewed' WHEN n > 1 THEN 'duplicate' WHEN d = 0 THEN 'same_scene' WHEN d = 1 THEN 'different_scene' ELSE 'invalid' END AS state, count(*) AS rows FROM x WHERE c OR n > 0 GROUP BY 1""",
     "duplicate_labels": """WITH r AS (SELECT l_orderkey AS image, CAST(l_partkey % 5 AS VARCHAR) || ' ' || CAST(l_suppkey % 3 AS VARCHAR) || ' 0.5 0.5' AS row, CAST(l_linenumber AS BIGINT) * 1000000 + l_partkey AS line_no FROM lineitem)
 SELECT image, row, count(*) AS times, string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) AS lines FROM r GROUP BY image, row HAVING count(*) > 1""",
+    "name_identities": f"SELECT n_nationkey, stem, conservative, strict, family, added, added_family, added_key, product, derived, scene_family, 'train' AS split FROM nation JOIN (VALUES {_NAMED}) v(i, stem, conservative, strict, family, added, added_family, added_key, product, derived, scene_family) ON n_nationkey % 10 = i",
 }
