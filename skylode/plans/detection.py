@@ -14,13 +14,16 @@ CONFIDENCES = grid(0.1, 0.9, 0.1)
 _LIMIT = "CASE WHEN {0} = 'vehicle' THEN 0.35 ELSE 0.5 END"
 _IOU = "(w * h / greatest((x2 - x1) * (y2 - y1) + (gx2 - gx1) * (gy2 - gy1) - w * h, 1e-9))"
 
+
 def _r(*names: str) -> list:
     return [F.round(n, 6).alias(n) for n in names]
 
+
 RATES = ("false_alarm_rate", "precision", "recall", "f1")
 RATES_SQL = """round(fp / greatest(fp + tp, 1), 6) AS false_alarm_rate, round(1 - fp / greatest(fp + tp, 1), 6) AS precision, round(tp / greatest(tp + fn, 1), 6) AS recall,
 round(2 * (1 - fp / greatest(fp + tp, 1)) * (tp / greatest(tp + fn, 1)) / greatest(1 - fp / greatest(fp + tp, 1) + tp / greatest(tp + fn, 1), 1e-12), 6) AS f1"""
 
+
 def pairs_sql(det: str, name: str, same: bool = True) -> str:
     """Overlapping pairs of detections ``det`` and boxes."""
     return f"""
@@ -30,6 +33,7 @@ def pairs_sql(det: str, name: str, same: bool = True) -> str:
    WHERE d.x1 < g.x2 AND g.x1 < d.x2 AND d.y1 < g.y2 AND g.y1 < d.y2),
 {name} AS (SELECT image, grp, pi, score, gi, gt_grp, {_IOU} AS iou FROM {name}0)"""
 
+
 def match_sql(pairs: str, name: str, floor: float | None = None) -> str:
     """Greedy one-to-one matches of overlapping ``pairs`` as a recursion over ranks of detections."""
     limit = str(floor) if floor is not None else _LIMIT.format("gt_grp")
@@ -47,15 +51,19 @@ cnt AS (SELECT coalesce(d.grp, g.grp) AS grp, coalesce(m.tp, 0) AS tp, coalesce(
    FROM (SELECT grp, count(*) AS n FROM det GROUP BY grp) d FULL JOIN (SELECT grp, count(*) AS n FROM gt GROUP BY grp) g ON d.grp = g.grp LEFT JOIN (SELECT grp, count(*) AS tp FROM mt GROUP BY grp) m ON m.grp = coalesce(d.grp, g.grp)),
 tot AS (SELECT grp, tp, fp, fn FROM cnt UNION ALL SELECT 'overall', CAST(sum(tp) AS BIGINT), CAST(sum(fp) AS BIGINT), CAST(sum(fn) AS BIGINT) FROM cnt)"""
 
+
 def match_metrics_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.metrics(detections(spark, sf_dir), ground_truth(spark, sf_dir)).select("grp", "tp", "fp", "fn", *_r(*RATES))
 
+
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.threshold_matrix(detections(spark, sf_dir), ground_truth(spark, sf_dir), CONFIDENCES)
 
+
 def threshold_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix(spark, sf_dir).select("confidence", "grp", "tp", "fp", "fn", *_r(*RATES))
 
+
 _MATRIX = f"""
 cs AS (SELECT unnest([{', '.join(map(str, CONFIDENCES))}]::DOUBLE[]) AS confidence),
 gs AS (SELECT DISTINCT grp FROM gt UNION SELECT DISTINCT grp FROM det),
@@ -64,14 +72,17 @@ allc AS (SELECT confidence, grp, tp, d, g FROM cell UNION ALL SELECT confidence,
 mx AS (SELECT confidence, grp, CAST(tp AS BIGINT) AS tp, CAST(d - tp AS BIGINT) AS fp, CAST(g - tp AS BIGINT) AS fn FROM allc),
 mr AS (SELECT confidence, grp, tp, fp, fn, {RATES_SQL} FROM mx)"""
 
+
 def operating_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     overall = matrix(spark, sf_dir).where("grp = 'overall'").drop("grp").select("confidence", "tp", "fp", "fn", *_r(*RATES))
     return matching.operating_points(overall)
 
+
 def group_operating_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = matching.group_operating_points(matrix(spark, sf_dir).select("confidence", "grp", "tp", "fp", "fn", *_r(*RATES)))
     return points.select("grp", "selection", "confidence", "tp", "fp", "fn", *RATES)
 
+
 _PICK = """(SELECT '{0}' AS selection, confidence, tp, fp, fn, false_alarm_rate, precision, recall, f1 FROM mr WHERE grp = 'overall' ORDER BY {1} LIMIT 1)"""
 _POINTS = " UNION ALL ".join(
     _PICK.format(n, o)
@@ -86,17 +97,21 @@ _GROUP_POINTS = " UNION ALL ".join(
     for n, o in (("balanced", "-f1, -recall, false_alarm_rate, confidence"), ("max_recall", "-recall, -f1, false_alarm_rate, confidence"))
 )
 
+
 def _levels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Current, low-score and loosely suppressed detections; a fifth stands for what suppression has taken, so that every error type occurs."""
     det = detections(spark, sf_dir)
     return det.where("score >= 0.5 and pi % 5 != 0"), det.where("score >= 0.2 and pi % 5 != 0"), det.where("score >= 0.2")
 
+
 _LEVELS = "cur AS (SELECT * FROM det WHERE score >= 0.5 AND pi % 5 <> 0), low AS (SELECT * FROM det WHERE score >= 0.2 AND pi % 5 <> 0), loose AS (SELECT * FROM det WHERE score >= 0.2)"
 
+
 def instance_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     gt = ground_truth(spark, sf_dir)
     return matching.instance_errors(*_levels(spark, sf_dir), gt).withColumn("matched_iou", F.round("matched_iou", 6))
 
+
 _TAXONOMY = f"""{_BASE}, {_LEVELS}, {pairs_sql('cur', 'pc')}, {pairs_sql('low', 'pl')}, {pairs_sql('loose', 'po')}, {pairs_sql('loose', 'pa', False)},
 {match_sql('pc', 'mc')}, {match_sql('pl', 'ml')}, {match_sql('po', 'mo')}, {match_sql('pc', 'm5', 0.5)}, {match_sql('pc', 'm7', 0.75)},
 nr AS (SELECT image, gi, max(iou) FILTER (grp = gt_grp) AS own, bool_or(iou >= {_LIMIT.format('gt_grp')}) FILTER (grp <> gt_grp) AS other FROM pa GROUP BY image, gi),
@@ -104,101 +119,126 @@ tx AS (SELECT g.image, g.gi, g.grp, CASE WHEN mc.pi IS NOT NULL THEN 'detected'
   coalesce(mc.pi, -1) AS matched_pi, round(coalesce(mc.iou, 0), 6) AS matched_iou, m5.pi IS NOT NULL AS iou50, m7.pi IS NOT NULL AS iou75
 FROM gt g LEFT JOIN mc USING (image, gi) LEFT JOIN ml USING (image, gi) LEFT JOIN mo USING (image, gi) LEFT JOIN m5 USING (image, gi) LEFT JOIN m7 USING (image, gi) LEFT JOIN nr USING (image, gi))"""
 
+
 def instance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = matching.instance_errors(*_levels(spark, sf_dir), ground_truth(spark, sf_dir))
     gid = F.grouping_id()
     level = F.when(gid == 0, "group_error").when(gid == 1, "group").when(gid == 2, "error").otherwise("all")
     return rows.cube("grp", "error").agg(level.alias("level"), F.count("*").alias("n")).select("level", F.coalesce("grp", F.lit("")).alias("grp"), F.coalesce("error", F.lit("")).alias("error"), "n")
 
+
 def false_positive_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.false_positives(detections(spark, sf_dir), ground_truth(spark, sf_dir)).withColumn("nearest_iou", F.round("nearest_iou", 6))
 
+
 _FPS = f"""{pairs_sql('det', 'pd')}, {match_sql('pd', 'mt')}, {pairs_sql('det', 'pa', False)},
 fpn AS (SELECT image, pi, bool_or(grp = gt_grp AND iou >= {_LIMIT.format('gt_grp')}) AS dup, bool_or(grp <> gt_grp AND iou >= {_LIMIT.format('gt_grp')}) AS other, max(iou) FILTER (grp = gt_grp) AS own,
   arg_max({{'gi': gi, 'iou': iou}}, {{'iou': iou, 'g': -gi}}) AS near FROM pa GROUP BY image, pi),
 fps AS (SELECT d.image, d.pi, d.grp, d.score, CASE WHEN n.dup THEN 'duplicate' WHEN n.other THEN 'wrong_group' WHEN n.own >= 0.1 THEN 'localization' ELSE 'background' END AS reason,
   coalesce(n.near.gi, -1) AS nearest_gi, coalesce(n.near.iou, 0) AS nearest_iou, d.x1, d.y1, d.x2, d.y2 FROM det d ANTI JOIN mt ON d.image = mt.image AND d.pi = mt.pi LEFT JOIN fpn n ON n.image = d.image AND n.pi = d.pi)"""
 
+
 def nms_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.suppressed(detections(spark, sf_dir), 0.5).select("image", "pi", "grp", "score")
 
+
 _NMS = f"""{_BASE}, n1 AS (SELECT image, grp, list_sort(list({{'down': -score, 'pi': pi, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}})) AS rs FROM det GROUP BY image, grp),
 n2 AS (SELECT image, grp, list_reduce(rs, lambda k, x: CASE WHEN len(list_filter(k, lambda o: greatest(least(o.x2, x.x2) - greatest(o.x1, x.x1), 0) * greatest(least(o.y2, x.y2) - greatest(o.y1, x.y1), 0)
   / greatest((o.x2 - o.x1) * (o.y2 - o.y1) + (x.x2 - x.x1) * (x.y2 - x.y1) - greatest(least(o.x2, x.x2) - greatest(o.x1, x.x1), 0) * greatest(least(o.y2, x.y2) - greatest(o.y1, x.y1), 0), 1e-9) >= 0.5)) > 0 THEN k ELSE list_append(k, x) END, rs[1:0]) AS ks FROM n1)
 SELECT image, CAST(m.pi AS BIGINT) AS pi, grp, -m.down AS score FROM (SELECT image, grp, unnest(ks) AS m FROM n2)"""
 
+
 def crowded_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.crowded(ground_truth(spark, sf_dir))
 
+
 _CROWD = f"""WITH {GT_SQL}, c AS (SELECT image, grp, gi, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS dg FROM gt)
 SELECT a.image, a.gi, EXISTS (SELECT 1 FROM c b WHERE a.image = b.image AND a.grp = b.grp AND a.gi <> b.gi AND sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) <= 2 * greatest(a.dg, b.dg)) AS crowded FROM c a"""
 
+
 def size_edge_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, w, h = F.col("box"), F.lit(WIDTH), F.lit(HEIGHT)
     rows = ground_truth(spark, sf_dir).select("grp", boxes.size_bucket(boxes.area(b)).alias("size"), boxes.at_edge(b, w, h).alias("edge"))
     return rows.groupBy("grp", "size").agg(F.count("*").alias("n"), F.count_if("edge").alias("n_edge"))
 
+
 _SIZES = f"""WITH {GT_SQL} SELECT grp, CASE WHEN (x2 - x1) * (y2 - y1) < 1024 THEN 'small' WHEN (x2 - x1) * (y2 - y1) < 9216 THEN 'medium' ELSE 'large' END AS size, count(*) AS n,
 count(*) FILTER (x1 <= 12.8 OR y1 <= 12.8 OR x2 >= 627.2 OR y2 >= 627.2) AS n_edge FROM gt GROUP BY 1, 2"""
 
+
 def _false(spark: SparkSession, sf_dir: str) -> DataFrame:
     det = detections(spark, sf_dir)
     return matching.false_positives(det, ground_truth(spark, sf_dir)).join(det.select("image", "pi", "box"), ["image", "pi"]).withColumns({"width": F.lit(640), "height": F.lit(640)})
 
+
 def filter_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mining.safe_backgrounds(_false(spark, sf_dir), per_image=1)
     return rows.groupBy(F.coalesce("excluded", F.lit("kept")).alias("outcome")).agg(F.count("*").alias("n"))
 
+
 _CASCADE = f"""{_BASE}, {_FPS},
 ex AS (SELECT *, CASE WHEN grp <> 'vehicle' THEN 'other_group' WHEN reason <> 'background' THEN reason WHEN score < 0.35 THEN 'below_minimum_score' WHEN nearest_iou > 0.05 THEN 'near_any_gt'
   WHEN x1 <= 12.8 OR y1 <= 12.8 OR x2 >= 627.2 OR y2 >= 627.2 THEN 'prediction_at_image_edge' END AS e FROM fps),
 rk AS (SELECT *, row_number() OVER (PARTITION BY image, e IS NULL ORDER BY score DESC, pi) AS rn FROM ex)
 SELECT coalesce(e, CASE WHEN rn > 1 THEN 'per_image_cap' ELSE 'kept' END) AS outcome, count(*) AS n FROM rk GROUP BY 1"""
 
+
 def hard_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.hard_manifest(matching.instance_errors(*_levels(spark, sf_dir), ground_truth(spark, sf_dir)))
 
+
 _POINTS_SQL = "CASE error WHEN 'no_candidate' THEN 2.0 WHEN 'low_confidence' THEN 1.5 WHEN 'nms_suppressed' THEN 1.2 ELSE 1.0 END"
 _HARD = f"""hk AS (SELECT image, error, count(*) AS n FROM tx WHERE error IN ('no_candidate', 'low_confidence', 'nms_suppressed', 'localization') GROUP BY 1, 2),
 hm AS (SELECT image, CAST(sum(n) AS BIGINT) AS n_objects, string_agg(error, ';' ORDER BY error) AS reasons, CAST(max({_POINTS_SQL}) + 0.5 * (count(*) - 1) AS DOUBLE) AS score FROM hk GROUP BY image)"""
 
+
 def _background(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _false(spark, sf_dir).where("reason = 'background' and grp = 'vehicle'")
 
+
 _BACK = "bk AS (SELECT image, count(*) AS b FROM fps WHERE reason = 'background' AND grp = 'vehicle' GROUP BY image)"
 
+
 def replay_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.replay_union(hard_manifest(spark, sf_dir), _background(spark, sf_dir))
 
+
 def native_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     errors = matching.instance_errors(*_levels(spark, sf_dir), ground_truth(spark, sf_dir))
     return mining.native_replay(errors, _background(spark, sf_dir))
 
+
 _FPS_ONLY = _FPS.replace(pairs_sql("det", "pa", False), pairs_sql("det", "pq", False)).replace("FROM pa GROUP BY image, pi", "FROM pq GROUP BY image, pi")
 
+
 def hard_negative_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mining.negative_crops(_background(spark, sf_dir), ground_truth(spark, sf_dir))
     return rows.select("image", "pi", "factor", *[F.col(f"crop.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
 
+
 _CROPS = f"""{_BASE}, {_FPS}, f AS (SELECT unnest([3.0, 7.0]::DOUBLE[]) AS factor), v AS (SELECT image, pi, factor, x1 AS bx1, y1 AS by1, x2 AS bx2, y2 AS by2,
  greatest((x1 + x2) / 2 - (x2 - x1) * factor / 2, 0) AS x1, greatest((y1 + y2) / 2 - (y2 - y1) * factor / 2, 0) AS y1, least((x1 + x2) / 2 + (x2 - x1) * factor / 2, 640) AS x2, least((y1 + y2) / 2 + (y2 - y1) * factor / 2, 640) AS y2
  FROM fps, f WHERE reason = 'background' AND grp = 'vehicle')
 SELECT image, pi, factor, x1, y1, x2, y2 FROM v WHERE bx1 - x1 >= 4 AND by1 - y1 >= 4 AND x2 - bx2 >= 4 AND y2 - by2 >= 4
  AND NOT EXISTS (SELECT 1 FROM gt g WHERE g.image = v.image AND v.x1 < g.x2 AND g.x1 < v.x2 AND v.y1 < g.y2 AND g.y1 < v.y2)"""
 
+
 def prediction_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     det = detections(spark, sf_dir)
     other = det.where("pi % 13 != 0").withColumn("score", F.col("score") + F.lit(0.25))
     return matching.prediction_difference(det, other).select("images", "exact_images", "pairs", *_r("mean_iou", "mean_score_delta"))
 
+
 def label_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = detections(spark, sf_dir).select("grp", "fine", boxes.centred(F.col("box"), F.lit(600.0), F.lit(600.0)).alias("c"))
     ok = boxes.valid_label(F.col("fine"), *[F.col(f"c.{k}") for k in "xywh"])
     return lab.groupBy("grp").agg(F.count_if(ok).alias("valid"), F.count_if(~ok).alias("invalid"))
 
+
 _VALID = f"""{_BASE}, v AS (SELECT grp, (x1 + x2) / 2 / 600 BETWEEN 0 AND 1 AND (y1 + y2) / 2 / 600 BETWEEN 0 AND 1 AND (x2 - x1) / 600 > 0 AND (x2 - x1) / 600 <= 1 AND (y2 - y1) / 600 > 0 AND (y2 - y1) / 600 <= 1 AS ok FROM det)
 SELECT grp, count(*) FILTER (ok) AS valid, count(*) FILTER (NOT ok) AS invalid FROM v GROUP BY grp"""
 
+
 def fraction_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, w, h = F.col("box"), F.lit(WIDTH), F.lit(HEIGHT)
     gt = ground_truth(spark, sf_dir)
@@ -207,6 +247,7 @@ def fraction_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select(F.when(i < 14, "train").when(i < 17, "val").otherwise("test").alias("split"), (boxes.size_bucket(boxes.area(b)) == "small").alias("small"), "crowded", boxes.at_edge(b, w, h).alias("edge"))
     return audits.fraction_gaps(rows, "split", ["small", "crowded", "edge"]).select("flag", *_r("gap"))
 
+
 _GAPS = f"""{_CROWD.replace('SELECT a.image', ', cf AS (SELECT a.image', 1)}),
 fr AS (SELECT CASE WHEN image % 20 < 14 THEN 'train' WHEN image % 20 < 17 THEN 'val' ELSE 'test' END AS split, avg(CAST((x2 - x1) * (y2 - y1) < 1024 AS INT)) AS small, avg(CAST(crowded AS INT)) AS crowded,
  avg(CAST(x1 <= 12.8 OR y1 <= 12.8 OR x2 >= 627.2 OR y2 >= 627.2 AS INT)) AS edge FROM gt JOIN cf USING (image, gi) GROUP BY 1)
