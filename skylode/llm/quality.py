@@ -3,28 +3,32 @@
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylode.llm.common import map_arrow, texts
+from skylode.llm.common import kept_in_worker, map_arrow, texts
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 10_000
 #: Hash buckets of word features; the shape features come after them.
 BUCKETS = 1 << 18
 SHAPES = 12
-#: Lengths of the beginnings of words that are features beside the words.
+#: Lengths in bytes of the beginnings of words that are features beside the words.
 STEMS = (4, 5, 6)
 #: Length that a document's vector of words is scaled to.
 LENGTH = 10.0
+#: Tokens that a worker keeps; beyond that it starts anew.
+CACHE = 500_000
 GRADES = 3
 #: A document stays if the probability of the highest grade is this at least.
 THRESHOLD = 0.75
@@ -40,36 +44,42 @@ def grade(quality: str = "quality", toxic: str = "toxic"):
 
 
 class Tokens(dict):
-    """Token → row of ``table``, which has the token's buckets (the word and its beginnings) and shape."""
+    """Token → its place in ``table``, which has each token's buckets (the word's and those of its beginnings) and shape."""
+
+    WIDTH = 2 + len(STEMS)
 
     def __init__(self):
         super().__init__()
-        self.table = np.zeros((1 << 12, 1 + len(STEMS) + 1), np.int32)
+        self.table = array("i")
 
     def __missing__(self, token: str) -> int:
-        import xxhash
-
-        row = len(self)
-        if row == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        word = token.lower().strip(".,;:!?()[]{}\"'«»")
-        parts = [word] + [f"{word[:n]}~" if len(word) > n else word for n in STEMS]
-        self.table[row] = [xxhash.xxh32_intdigest(x.encode("utf-8", "surrogatepass"), 11) % BUCKETS for x in parts] + [shape(token)]
-        self[token] = row
+        row = self[token] = len(self)
+        word = token.lower().strip(".,;:!?()[]{}\"'«»").encode("utf-8", "surrogatepass")
+        # A checksum of a beginning goes on to the next; the word's own is the last.
+        at, code, begins = 0, 0, []
+        for n in STEMS:
+            code = crc32(word[at:n], code)
+            begins.append((code ^ 0x5BD1E995) % BUCKETS)
+            at = n
+        self.table.extend((crc32(word[at:], code) % BUCKETS, *begins, shape(token)))
         return row
 
     def rows(self, tokens: list[str]) -> np.ndarray:
-        if len(self) > 300_000:
+        if len(self) > CACHE:
             self.clear()
+            self.table = array("i")
         at = [self[t] for t in tokens]  # this may make the table grow
-        return self.table[at]
+        return np.frombuffer(self.table, np.intc).reshape(-1, self.WIDTH)[at]
 
 
 def shape(token: str) -> int:
     """Which of ten forms a token has."""
-    letters = sum(c.isalpha() for c in token)
-    digits = sum(c.isdigit() for c in token)
-    marks = len(token) - letters - digits
+    plain = token[:-1] if token[-1] in ".,;:!?" else token
+    if plain.isalpha():
+        letters, digits, marks = len(plain), 0, len(token) - len(plain)
+    else:
+        letters, digits = sum(map(str.isalpha, token)), sum(map(str.isdigit, token))
+        marks = len(token) - letters - digits
     if not letters:
         return 1 if digits and marks <= digits else 2 if marks == 1 else 3
     if letters > 1 and token.upper() == token:
@@ -196,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Cumulativ
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens()
+        tokens = kept_in_worker("quality", Tokens)
         for batch in batches:
             found = [features(x, tokens) for x in texts(batch)]
             blobs = [pa.array([x[i].astype(t).tobytes() for x in found], pa.binary()) for i, t in ((0, "<i4"), (1, "<f2"), (2, "<f4"))]
@@ -221,7 +231,7 @@ def grade_documents(docs: DataFrame, model: CumulativeLink, threshold: float = T
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens()
+        tokens = kept_in_worker("quality", Tokens)
         for batch in batches:
             chances = model.tail(texts(batch), tokens)
             tail = chances[:, -1]
@@ -236,7 +246,7 @@ def keep_documents(docs: DataFrame, model: CumulativeLink, threshold: float = TH
     at = docs.columns.index("text")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens()
+        tokens = kept_in_worker("quality", Tokens)
         for batch in batches:
             found = [x or "" for x in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(model.tail(found, tokens)[:, -1] >= threshold))
