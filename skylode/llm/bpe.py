@@ -11,16 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylode.llm.common import kept_in_worker, map_arrow, texts
+from skylode.llm.common import kept_in_worker, map_arrow, texts, tokenizer_text
 
 #: Entries of a worker's cache of words; beyond that it starts anew.
-CACHE = 200_000
+CACHE = 400_000
 #: Stands before words that are in byte symbols already; no Latin-1 text holds it.
 MAPPED = "\uffff"
 
 
 class ForcedBoundaryEncoder:
-    """Encodes and decodes like the tokenizer file it is made from (BPE over byte symbols with an end-of-word suffix).
+    """Encodes and decodes like the tokenizer file of whose text it is made (BPE over byte symbols with an end-of-word suffix).
 
     Normalisation and the split into words are those of the file. Inside a
     word two neighbouring bytes that stand side by side in no vocabulary entry
@@ -29,13 +29,12 @@ class ForcedBoundaryEncoder:
     suffix, and their ids concatenated.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, text: str):
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.whole = Tokenizer.from_file(path)
+        spec = json.loads(text)
+        self.whole = Tokenizer.from_str(text)
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
         vocab: dict[str, int] = model["vocab"]
@@ -138,9 +137,10 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
 
 def _mapped(docs: DataFrame, path: str, schema: str, columns) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
+    spec, name = tokenizer_text(path)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = kept_in_worker(f"bpe {path}", lambda: ForcedBoundaryEncoder(path))
+        encoder = kept_in_worker(f"bpe {name}", lambda: ForcedBoundaryEncoder(spec))
         for batch in batches:
             found = [encoder.encode(x) for x in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns(found)], names=names)

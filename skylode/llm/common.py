@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -27,6 +28,13 @@ def kept_in_worker(name: str, make: Callable[[], object]) -> object:
     return store[name]
 
 
+def tokenizer_text(path: str) -> tuple[str, str]:
+    """A tokenizer file's text, read on the driver and sent with the kernel (a few MB, whatever the input), and a name for what is made of it."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    return text, hashlib.sha256(text.encode()).hexdigest()
+
+
 def map_arrow(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow with batches bounded in bytes, so long texts can't fill a worker."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

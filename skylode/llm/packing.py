@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylode.llm.common import kept_in_worker, map_arrow, texts
+from skylode.llm.common import kept_in_worker, map_arrow, texts, tokenizer_text
 
 CONTEXT = 2048
 TIERS = (256, 512, 1024, 2048)
@@ -27,8 +27,8 @@ END = 1
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, context long, step_id long"
 
 
-def token_encoder(tokenizer_path: str):
-    """text → ids, equal to the tokenizer file's without added special tokens.
+def token_encoder(spec_text: str):
+    """text → ids, equal to those of the tokenizer file with this text, without added special tokens.
 
     The same merges are run by a faster library: the file's vocabulary in
     byte form gives the ranks. Special tokens that stand in a text are found
@@ -38,8 +38,7 @@ def token_encoder(tokenizer_path: str):
 
     import tiktoken
 
-    with open(tokenizer_path, encoding="utf-8") as f:
-        spec = json.load(f)
+    spec = json.loads(spec_text)
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = iter(range(256, 512))
     byte_of = {chr(b if b in shown else next(rest)): b for b in range(256)}
@@ -141,7 +140,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, w
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = kept_in_worker(f"packing {tokenizer_path}", lambda: token_encoder(tokenizer_path))
+        encode = kept_in_worker(f"packing {name}", lambda: token_encoder(spec))
         base = TaskContext.get().partitionId() << 32
         packer, held, numbers = Packer(), {}, [0, 0, 0]  # numbers: of documents, sequences and steps so far
 
@@ -180,5 +179,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, w
                     tokens = 0
         yield emit(True)
 
+    spec, name = tokenizer_text(tokenizer_path)
     schema = OUT + ", ids binary" * with_ids
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), kernel, schema)

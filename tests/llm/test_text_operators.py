@@ -183,7 +183,7 @@ def test_bpe_equals_the_library_and_round_trips(spark):
 
 
 def test_forced_cuts_lie_between_bytes_that_no_token_joins():
-    e = bpe.ForcedBoundaryEncoder(tokenizer("word_bpe_49k.json"))
+    e = bpe.ForcedBoundaryEncoder(open(tokenizer("word_bpe_49k.json"), encoding="utf-8").read())
     tokens = list(e.whole.get_vocab())
     pair = next(a + b for a in "qzxjv" for b in "qzxjv" if a + b not in e.joined) if any(a + b not in e.joined for a in "qzxjv" for b in "qzxjv") else None
     symbols = e.bytes_as[0x00] + e.bytes_as[0x01]
