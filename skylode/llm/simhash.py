@@ -24,7 +24,7 @@ PIVOTS = 16
 #: For texts that are alike to a degree: hash functions of the sketch, bands of two of them, bits by which fingerprints may differ,
 #: and the size up to which all pairs of a band's bucket are compared.
 HASHES, BANDED, ALIKE_BITS, SMALL_BUCKET = 256, 10, 18, 64
-#: Leaders that the members of a larger bucket are compared with, in turn.
+#: Leaders that the members of a larger bucket are compared with, in turn, and the salts that these members are dealt to.
 LEADERS, LEADER_SALTS = 3, 16
 
 
@@ -183,8 +183,9 @@ def alike_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, bi
     standard error of it, 0.03).
 
     Buckets of up to 64 are compared pair by pair. The members of a larger one, such as thousands of copies of a text,
-    are compared with a leader, those unlike it with a second, and so on, and the last few left over with each other. So a bucket gives
-    no more links than members. Leaders differ from band to band, so a member that its leader misses in one band has nine others.
+    are compared with a leader. Those unlike it, such as texts that share a passage and nothing else, go to narrower buckets, of two
+    bands' keys at once: up to 64 are compared pair by pair again, larger ones with one leader after another. So a large bucket gives
+    no more links than members. Leaders differ from bucket to bucket, and alike texts share six buckets or so.
 
     Equal texts are one class. Null texts count as empty; texts without words are alike. A null doc_id keeps its row
     and is no component's id unless the component has no other. Repeated rows stay repeated; an empty table gives no rows.
@@ -193,9 +194,11 @@ def alike_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, bi
     same = ["fp", "sketch"]
     classes = cut(found.groupBy(*same).agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")).withColumn("node", F.coalesce("least", F.xxhash64(*same))))
     coordinates = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("tinyint").alias(f"d{i}") for i, p in enumerate(pivots())]
-    keyed = classes.select("node", "fp", "sketch", *coordinates, F.explode("keys").alias("key"))
+    keyed = classes.select("node", "fp", "sketch", "keys", *coordinates, F.explode("keys").alias("key"))
     shared = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     rows = cut(keyed.join(shared, "key"))
+    salt = F.pmod(F.xxhash64("node"), F.lit(LEADER_SALTS))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LEADER_SALTS - 1).cast("long")))
 
     def alike(a: str, b: str) -> Column:
         far = F.greatest(*[F.abs(F.col(f"{a}.d{i}").cast("int") - F.col(f"{b}.d{i}")) for i in range(PIVOTS)])
@@ -208,25 +211,37 @@ def alike_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, bi
         return (far <= bits) & (F.bit_count(differ) <= bits) & (share >= similarity - 0.03)
 
     def pairs(of: DataFrame) -> DataFrame:
-        a, b = of.alias("a"), of.alias("b")
+        """Links between all that are alike in buckets of a bounded size."""
+        a, b = of.where(F.col("n") <= SMALL_BUCKET).alias("a"), of.where(F.col("n") <= SMALL_BUCKET).alias("b")
         return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & alike("a", "b")).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
 
-    links = pairs(rows.where(F.col("n") <= SMALL_BUCKET))
+    def led(of: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links in buckets, and what is left of large ones: small ones are compared pair by pair, the members of others with their leader.
+
+        The leader is the first in an order of the bucket's own; a partial aggregate finds it and the size. Members are salted, and
+        each leader goes to every salt: the members of one bucket spread over that many tasks.
+        """
+        whole = F.struct(*[c for c in of.columns if c != "key"])
+        heads = cut(of.groupBy("key").agg(F.min_by(whole, F.xxhash64("key", "node")).alias("l"), F.count("*").alias("n")).where("n > 1").select("key", "n", "l.*"))
+        a, b = of.withColumn("salt", salt).alias("a"), heads.withColumn("salt", every).alias("b")
+        both = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.salt") == F.col("b.salt")))
+        met = cut(both.select(*[F.col(f"a.{c}").alias(c) for c in of.columns], F.col("b.n").alias("n"), F.col("b.node").alias("leader"), alike("a", "b").alias("like")))
+        star = met.where((F.col("n") > SMALL_BUCKET) & F.col("like") & (F.col("node") != F.col("leader")))
+        found = pairs(met).unionByName(star.select(F.col("leader").alias("u"), F.col("node").alias("v")))
+        return found, met.where((F.col("n") > SMALL_BUCKET) & ~F.col("like")).drop("n", "leader", "like")
+
+    links = pairs(rows)
     left = rows.where(F.col("n") > SMALL_BUCKET).drop("n")
-    if not left.isEmpty():
-        for _ in range(LEADERS):
-            # The leader is the first in an order of the band's own; a partial aggregate finds it.
-            order = F.xxhash64("key", "node")
-            leaders = cut(left.groupBy("key").agg(F.min_by(F.struct(*[c for c in left.columns if c != "key"]), order).alias("l")).select("key", "l.*"))
-            # Members are salted, and each leader goes to every salt: the members of one bucket spread over that many tasks.
-            a = left.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(LEADER_SALTS))).alias("a")
-            b = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LEADER_SALTS - 1).cast("long")))).alias("b")
-            both = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.salt") == F.col("b.salt")))
-            met = cut(both.select(*[F.col(f"a.{c}").alias(c) for c in left.columns], F.col("b.node").alias("leader"), alike("a", "b").alias("like")))
-            links = links.unionByName(met.where("like and node != leader").select(F.col("leader").alias("u"), F.col("node").alias("v")))
-            left = met.where("not like").drop("leader", "like")
-        few = left.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n").between(2, SMALL_BUCKET)).select("key")
-        links = links.unionByName(pairs(cut(left.join(few, "key"))))
+    for turn in range(2 + LEADERS):
+        if left.isEmpty():
+            break
+        if turn == 2:
+            # Copies of one text are like their leader. Texts that merely share a passage are not, and a second band's key parts them.
+            apart = left.withColumn("other", F.explode(F.array_remove("keys", F.col("key"))))
+            narrow = F.xxhash64(F.least("key", "other"), F.greatest("key", "other"))
+            left = cut(apart.withColumn("key", narrow).drop("other").dropDuplicates(["key", "node"]))
+        more, left = led(left)
+        links = links.unionByName(more)
     groups = connected_components(links)
     labels = cut(classes.join(groups, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"), F.col("least")))
     known = labels.select(*same, F.when(F.col("least").isNull() & (F.col("component_id") == F.xxhash64(*same)), None).otherwise(F.col("component_id")).alias("component_id"))
