@@ -21,11 +21,11 @@ CROWD = 512
 PIVOTS = 16
 
 
-#: For texts that are alike to a degree: hash functions of the sketch, bands of two of them, bits by which fingerprints may differ,
-#: and the size up to which all pairs of a band's bucket are compared.
-HASHES, BANDED, ALIKE_BITS, SMALL_BUCKET = 256, 10, 18, 64
-#: Leaders that the members of a larger bucket are compared with, in turn, and the salts that these members are dealt to.
-LEADERS, LEADER_SALTS = 3, 16
+#: For texts that are alike to a degree: hash functions of the sketch, bands of two of them, standard errors by which a sketch may fall short,
+#: the size up to which all pairs of a band's bucket are compared at once, and that of the blocks which larger buckets are compared in.
+HASHES, BANDED, ERRORS, SMALL_BUCKET, BLOCK = 256, 10, 1.0, 64, 512
+#: Salts that the members of a larger bucket are dealt to.
+LEADER_SALTS = 16
 
 
 def _shingles(text: str, words: int) -> tuple[np.ndarray, int]:
@@ -63,20 +63,34 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), kernel, "doc_id long, fp long")
 
 
+def _distinct(text: str, words: int) -> np.ndarray:
+    """The values of the distinct shingles, in order."""
+    return np.unique(_shingles(text, words)[0].copy().view(">u8").ravel()).astype("<u8")
+
+
+def _name(own: np.ndarray) -> int:
+    """A signed 64-bit name of a set of shingles."""
+    import xxhash
+
+    named = xxhash.xxh64_intdigest(own.tobytes(), SEED)
+    return named - (1 << 64) if named >> 63 else named
+
+
 def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
-    """Rows (doc_id, fp, sketch array<long>, keys array<long>): fingerprints, two bits of each of the smallest hash values, and keys of pairs of these."""
+    """Rows (doc_id, node, size, sketch array<long>, keys array<long>): name and size of the set of shingles, two bits of each of the smallest hash values, and keys of pairs of these."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         random = np.random.default_rng(SEED)
         times = random.integers(1, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
         for batch in batches:
-            fps, bits, keys = [], [], []
+            names, sizes, bits, keys = [], [], [], []
             for text in texts(batch):
-                raw, count = _shingles(text, words)
-                fps.append(_majority(raw, count) if count else 0)
+                whole = _distinct(text, words)
+                names.append(_name(whole))
+                sizes.append(len(whole))
                 low = np.full(HASHES, 0xFFFFFFFF, np.uint32)
                 # The last bytes vary as freely as any; mixed, so that a product orders them differently for each function.
-                own = np.unique(raw[:, 4:].copy().view(">u4").ravel().astype(np.uint32)) if count else np.zeros(0, np.uint32)
+                own = np.unique(whole.astype(np.uint32))
                 for at in range(0, len(own), 4096):
                     product = own[at : at + 4096, None] * times[None, :]
                     low = np.minimum(low, (product ^ (product >> np.uint32(15))).min(axis=0))
@@ -85,9 +99,9 @@ def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
                 pair = low[: 2 * BANDED].astype(np.uint64)
                 keys.append(((pair[0::2] << np.uint64(32) | pair[1::2]) * np.uint64(0x9E3779B97F4A7C15) + np.arange(BANDED, dtype=np.uint64)).view(np.int64))
             lists = [pa.array([x.tolist() for x in c], pa.list_(pa.int64())) for c in (bits, keys)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), *lists], names=["doc_id", "fp", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), *lists], names=["doc_id", "node", "size", "sketch", "keys"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), kernel, "doc_id long, fp long, sketch array<long>, keys array<long>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), kernel, "doc_id long, node long, size long, sketch array<long>, keys array<long>")
 
 
 def pivots(count: int = PIVOTS) -> list[int]:
@@ -172,80 +186,71 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, crowd: i
     return found.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-def alike_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = ALIKE_BITS) -> DataFrame:
+def alike_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Rows (doc_id, component_id), one for each row of ``docs``: components of texts whose shingle sets are alike to this degree.
 
     At 0.8 the fingerprints of two texts differ by ten bits or so, too many for keys that lose no pair, so
     candidates share the two smallest hash values of one of ten bands: at 0.8 all bands
-    miss with probability (1 - 0.8^2)^10 < 1e-4. Pivot distances discard those whose largest coordinate
-    difference is over ``bits``, then the fingerprints must differ by no more than that, and the share of
-    equal pairs of bits in the sketches, less what chance gives, must reach the similarity (less one
-    standard error of it, 0.03).
+    miss with probability (1 - 0.8^2)^10 < 1e-4. The sizes of the sets must allow the similarity, and the share of
+    equal pairs of bits in the sketches, less what chance gives, must reach it less one standard error.
 
-    Buckets of up to 64 are compared pair by pair. The members of a larger one, such as thousands of copies of a text,
-    are compared with a leader. Those unlike it, such as texts that share a passage and nothing else, go to narrower buckets, of two
-    bands' keys at once: up to 64 are compared pair by pair again, larger ones with one leader after another. So a large bucket gives
-    no more links than members. Leaders differ from bucket to bucket, and alike texts share six buckets or so.
+    Every pair that shares a key is tested, or in one component already. Buckets of up to 64 are compared pair by pair. The members
+    of a larger one, such as thousands of copies of a text, are compared with a leader first. Then those of different components
+    are compared pair by pair, in blocks, each pair in the first bucket that it shares; a bucket that has become one component needs none of this.
 
-    Equal texts are one class. Null texts count as empty; texts without words are alike. A null doc_id keeps its row
+    Texts with equal sets are one class. Null texts count as empty; texts without words are alike. A null doc_id keeps its row
     and is no component's id unless the component has no other. Repeated rows stay repeated; an empty table gives no rows.
     """
     found = cut(sketches(docs, words))
-    same = ["fp", "sketch"]
-    classes = cut(found.groupBy(*same).agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")).withColumn("node", F.coalesce("least", F.xxhash64(*same))))
-    coordinates = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("tinyint").alias(f"d{i}") for i, p in enumerate(pivots())]
-    keyed = classes.select("node", "fp", "sketch", "keys", *coordinates, F.explode("keys").alias("key"))
-    shared = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    classes = cut(found.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")))
+    words_of, keys_of = [F.col("sketch")[i].alias(f"s{i}") for i in range(HASHES // 32)], [F.col("keys")[i].alias(f"k{i}") for i in range(BANDED)]
+    keyed = classes.select("node", "size", *words_of, *keys_of, F.posexplode("keys").alias("band", "key"))
+    shared = cut(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("key", "node")).alias("leader")).where("n > 1"))
     rows = cut(keyed.join(shared, "key"))
-    salt = F.pmod(F.xxhash64("node"), F.lit(LEADER_SALTS))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LEADER_SALTS - 1).cast("long")))
+    calm, hot = rows.where(F.col("n") <= SMALL_BUCKET), rows.where(F.col("n") > SMALL_BUCKET)
+    equal = 0.25 + 0.75 * similarity
+    least = similarity - ERRORS * (equal * (1 - equal) / HASHES) ** 0.5 / 0.75
 
     def alike(a: str, b: str) -> Column:
-        far = F.greatest(*[F.abs(F.col(f"{a}.d{i}").cast("int") - F.col(f"{b}.d{i}")) for i in range(PIVOTS)])
-        differ = F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))
+        x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
         unequal = F.lit(0)
         for i in range(HASHES // 32):
-            x = F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])
-            unequal = unequal + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+            z = F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))
+            unequal = unequal + F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(0x5555555555555555)))
         share = (F.lit(1.0) - unequal / F.lit(float(HASHES)) - 0.25) / 0.75
-        return (far <= bits) & (F.bit_count(differ) <= bits) & (share >= similarity - 0.03)
-
-    def pairs(of: DataFrame) -> DataFrame:
-        """Links between all that are alike in buckets of a bounded size."""
-        a, b = of.where(F.col("n") <= SMALL_BUCKET).alias("a"), of.where(F.col("n") <= SMALL_BUCKET).alias("b")
-        return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & alike("a", "b")).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-
-    def led(of: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Links in buckets, and what is left of large ones: small ones are compared pair by pair, the members of others with their leader.
-
-        The leader is the first in an order of the bucket's own; a partial aggregate finds it and the size. Members are salted, and
-        each leader goes to every salt: the members of one bucket spread over that many tasks.
-        """
-        whole = F.struct(*[c for c in of.columns if c != "key"])
-        heads = cut(of.groupBy("key").agg(F.min_by(whole, F.xxhash64("key", "node")).alias("l"), F.count("*").alias("n")).where("n > 1").select("key", "n", "l.*"))
-        a, b = of.withColumn("salt", salt).alias("a"), heads.withColumn("salt", every).alias("b")
-        both = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.salt") == F.col("b.salt")))
-        met = cut(both.select(*[F.col(f"a.{c}").alias(c) for c in of.columns], F.col("b.n").alias("n"), F.col("b.node").alias("leader"), alike("a", "b").alias("like")))
-        star = met.where((F.col("n") > SMALL_BUCKET) & F.col("like") & (F.col("node") != F.col("leader")))
-        found = pairs(met).unionByName(star.select(F.col("leader").alias("u"), F.col("node").alias("v")))
-        return found, met.where((F.col("n") > SMALL_BUCKET) & ~F.col("like")).drop("n", "leader", "like")
-
-    links = pairs(rows)
-    left = rows.where(F.col("n") > SMALL_BUCKET).drop("n")
-    for turn in range(2 + LEADERS):
-        if left.isEmpty():
-            break
-        if turn == 2:
-            # Copies of one text are like their leader. Texts that merely share a passage are not, and a second band's key parts them.
-            apart = left.withColumn("other", F.explode(F.array_remove("keys", F.col("key"))))
-            narrow = F.xxhash64(F.least("key", "other"), F.greatest("key", "other"))
-            left = cut(apart.withColumn("key", narrow).drop("other").dropDuplicates(["key", "node"]))
-        more, left = led(left)
-        links = links.unionByName(more)
+        return (F.least(x, y) + 1e-9 >= similarity * F.greatest(x, y)) & (share >= least)
+
+    def near(a: DataFrame, b: DataFrame, on: Column) -> DataFrame:
+        return a.alias("a").join(b.alias("b"), on & alike("a", "b")).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+
+    same_key = F.col("a.key") == F.col("b.key")
+    candidates = near(calm, calm, same_key & (F.col("a.node") < F.col("b.node")))
+    crowded = not hot.isEmpty()
+    if crowded:
+        # Members are salted, and each leader goes to every salt: the members of one bucket spread over that many tasks.
+        salted = hot.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(LEADER_SALTS)))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LEADER_SALTS - 1).cast("long")))
+        leaders = hot.where("node = leader").withColumn("salt", every)
+        candidates = candidates.unionByName(near(salted, leaders, same_key & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.node") != F.col("b.node"))))
+    links = cut(candidates.distinct())
+    if crowded:
+        known = cut(hot.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node")))
+        parted = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        blocks = F.ceil(F.col("n") / F.lit(BLOCK))
+        dealt = cut(known.join(parted, "key", "left_semi").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), blocks)).drop("n", "leader"))
+        left = dealt.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence("block", F.col("blocks") - 1)))
+        right = dealt.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))))
+        cell = same_key & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
+        once = (F.col("a.i") < F.col("a.j")) | (F.col("a.node") < F.col("b.node"))
+        for i in range(BANDED - 1):
+            once = once & ((F.col("a.band") <= i) | (F.col(f"a.k{i}") != F.col(f"b.k{i}")))
+        # A sort-merge join spreads the cells over the tasks, however few bytes they have.
+        more = near(left, right.hint("merge"), cell & (F.col("a.component") != F.col("b.component")) & once)
+        links = links.unionByName(cut(more.distinct()))
     groups = connected_components(links)
-    labels = cut(classes.join(groups, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"), F.col("least")))
-    known = labels.select(*same, F.when(F.col("least").isNull() & (F.col("component_id") == F.xxhash64(*same)), None).otherwise(F.col("component_id")).alias("component_id"))
-    return found.select("doc_id", *same).join(known, same).select("doc_id", "component_id")
+    labels = cut(classes.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "least"))
+    smallest = labels.groupBy("component").agg(F.min("least").alias("component_id"))
+    return found.select("doc_id", "node").join(labels.join(smallest, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
 def hex64(fp: str = "fp") -> Column:

@@ -380,3 +380,19 @@ def test_alike_texts_are_together_and_others_apart(spark, monkeypatch, small):
     assert all(near[i] and near[j] for i, j in grouped)
     assert all(label[i] <= i for i in label)
     assert simhash.alike_documents(d.limit(0)).count() == 0
+
+
+def grouped_alike(spark, texts):
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {x.doc_id: x.component_id for x in simhash.alike_documents(d).collect()}
+
+
+def test_copies_in_a_family_with_a_shared_passage_are_found(spark):
+    r = random.Random(17)
+    new = lambda n: ["".join(r.choice("abcdefgh") for _ in range(9)) for _ in range(n)]
+    passage, texts = new(180), []
+    for _ in range(500):  # alike by 0.56 through the passage, and each with a copy alike by 0.88
+        shared = passage + new(54)
+        texts += [" ".join(shared + new(16)), " ".join(shared + new(16))]
+    label = grouped_alike(spark, texts)
+    assert all(label[i] == label[i + 1] == i for i in range(0, 1000, 2))
