@@ -23,9 +23,9 @@ PIVOTS = 16
 
 #: For texts that are alike to a degree: hash functions of the sketch, bands of two of them, standard errors by which a sketch may fall short,
 #: the size up to which all pairs of a band's bucket are compared at once, and that of the blocks which larger buckets are compared in.
-HASHES, BANDED, ERRORS, SMALL_BUCKET, BLOCK = 256, 10, 1.0, 64, 512
-#: Salts that the members of a larger bucket are dealt to.
-LEADER_SALTS = 16
+HASHES, BANDED, ERRORS, SMALL_BUCKET, BLOCK = 256, 10, 4.0, 64, 512
+#: Salts that the members of a larger bucket are dealt to, and classes of texts to a cell in which pairs are verified.
+LEADER_SALTS, CELL = 16, 1000
 
 
 def _shingles(text: str, words: int) -> tuple[np.ndarray, int]:
@@ -186,13 +186,70 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, crowd: i
     return found.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
+def _alike_sets(pairs: pa.Table, sets: pa.Table, similarity: float) -> pa.Table:
+    """Of pairs (u, v) those whose sets are alike, less pairs that others of the cell connect already."""
+    place = {n: i for i, n in enumerate(sets.column("node").to_pylist())}
+    own = [np.frombuffer(x, "<u8") for x in sets.column("own").to_pylist()]
+    values = np.unique(np.concatenate([*own, np.zeros(0, "<u8")]))
+    own = [np.searchsorted(values, x) for x in own]
+    marked, parent, out, last = np.zeros(len(values), bool), list(range(len(own))), [], None
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for u, v in sorted(zip(pairs.column("u").to_pylist(), pairs.column("v").to_pylist(), strict=True)):
+        a, b = place[u], place[v]
+        if root(a) == root(b):
+            continue
+        if a != last:
+            if last is not None:
+                marked[own[last]] = False
+            marked[own[a]], last = True, a
+        both = int(np.count_nonzero(marked[own[b]]))
+        if both + 1e-9 >= similarity * (len(own[a]) + len(own[b]) - both):
+            parent[root(b)] = root(a)
+            out.append((u, v))
+    return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([x for _, x in out], pa.int64())})
+
+
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (u, v) that connect what those of ``pairs`` connect whose sets of shingles are alike by ``similarity``, counted exactly.
+
+    The sets are made anew, from one text of each class that a pair names. Pairs are dealt to cells by u, and each cell gets the sets
+    that its pairs name once.
+    """
+    pairs = cut(pairs.distinct())
+    nodes = cut(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    count = nodes.count()
+    if not count:
+        return pairs
+    cells = pairs.withColumn("cell", F.pmod(F.xxhash64("u"), F.lit(LEADER_SALTS + count // CELL)))
+    chosen = classes.join(nodes, "node", "left_semi").select(F.col("least").alias("chosen")).distinct()
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [_distinct(x, words) for x in texts(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["node", "own"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi")
+    # An id may have several texts, and null stands for many, so names decide.
+    sets = map_arrow(rows.select("text"), kernel, "node long, own binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    needed = cells.select(F.col("cell").alias("to"), F.explode(F.array("u", "v")).alias("node")).distinct().join(sets, "node")
+    return cut(cells.groupBy("cell").cogroup(needed.groupBy("to")).applyInArrow(lambda a, b: _alike_sets(a, b, similarity), "u long, v long"))
+
+
 def alike_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Rows (doc_id, component_id), one for each row of ``docs``: components of texts whose shingle sets are alike to this degree.
 
     At 0.8 the fingerprints of two texts differ by ten bits or so, too many for keys that lose no pair, so
     candidates share the two smallest hash values of one of ten bands: at 0.8 all bands
     miss with probability (1 - 0.8^2)^10 < 1e-4. The sizes of the sets must allow the similarity, and the share of
-    equal pairs of bits in the sketches, less what chance gives, must reach it less one standard error.
+    equal pairs of bits in the sketches, less what chance gives, must reach it less four standard errors (a miss in 30,000 at 0.8). Both only
+    filter: what is left is linked if the sets themselves are alike.
 
     Every pair that shares a key is tested, or in one component already. Buckets of up to 64 are compared pair by pair. The members
     of a larger one, such as thousands of copies of a text, are compared with a leader first. Then those of different components
@@ -232,7 +289,7 @@ def alike_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LEADER_SALTS - 1).cast("long")))
         leaders = hot.where("node = leader").withColumn("salt", every)
         candidates = candidates.unionByName(near(salted, leaders, same_key & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.node") != F.col("b.node"))))
-    links = cut(candidates.distinct())
+    links = verified(docs, classes, candidates, words, similarity)
     if crowded:
         known = cut(hot.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node")))
         parted = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
@@ -246,7 +303,7 @@ def alike_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
             once = once & ((F.col("a.band") <= i) | (F.col(f"a.k{i}") != F.col(f"b.k{i}")))
         # A sort-merge join spreads the cells over the tasks, however few bytes they have.
         more = near(left, right.hint("merge"), cell & (F.col("a.component") != F.col("b.component")) & once)
-        links = links.unionByName(cut(more.distinct()))
+        links = links.unionByName(verified(docs, classes, more, words, similarity))
     groups = connected_components(links)
     labels = cut(classes.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "least"))
     smallest = labels.groupBy("component").agg(F.min("least").alias("component_id"))

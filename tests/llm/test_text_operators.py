@@ -396,3 +396,17 @@ def test_copies_in_a_family_with_a_shared_passage_are_found(spark):
         texts += [" ".join(shared + new(16)), " ".join(shared + new(16))]
     label = grouped_alike(spark, texts)
     assert all(label[i] == label[i + 1] == i for i in range(0, 1000, 2))
+
+
+def test_links_are_exact_at_the_similarity(spark):
+    r = random.Random(18)
+    new = lambda n: ["".join(r.choice("abcdefgh") for _ in range(9)) for _ in range(n)]
+    passage, texts = new(300), []
+    texts += [" ".join(passage + new(50)) for _ in range(120)]  # alike by 296 / 396, so 0.747
+    over = len(texts)
+    for _ in range(150):  # alike by 160 / 198, so 0.808
+        shared = new(164)
+        texts += [" ".join(shared + new(19)), " ".join(shared + new(19))]
+    label = grouped_alike(spark, texts)
+    assert all(label[i] == i for i in range(over))
+    assert all(label[i] == label[i + 1] == i for i in range(over, len(texts), 2))
