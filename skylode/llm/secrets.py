@@ -29,10 +29,10 @@ class Rules:
         self.assign = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
         self.access = re.compile(r"AKIA[A-Z0-9]+")
         self.hex = re.compile(r"[0-9a-f]{16,}")
-        # Weak parts: none is reported alone.
-        self.identifier = re.compile(r"""(?ai)(?<![a-z0-9_])(?:user(?:_?name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20{0,8}[:=]\x20{0,8}["']?[A-Za-z0-9@._-]{3,64}""")
-        self.secret = re.compile(r"""(?ai)(?<![a-z0-9])(?:pwd|pass|password|passwd|secret|token|api_?key|secret_?access_?key)["']?\x20{0,8}[:=]\x20{0,8}["']?[^\s"']{4,128}""")
-        self.endpoint = re.compile(r"""(?ai)(?:(?:https?|ftps?|ssh|s3|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{3,256})|(?<![a-z0-9])(?:host|hostname|endpoint|server)["']?\x20{0,8}[:=]\x20{0,8}["']?[a-z0-9][a-z0-9.:-]{3,128}""")
+        # Weak parts: none is reported alone. Values go on to their end, however long.
+        self.identifier = re.compile(r"""(?ai)(?<![a-z0-9_])(?:user(?:_?name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20{0,8}[:=]\x20{0,8}["']?[A-Za-z0-9@._-]{3,}""")
+        self.secret = re.compile(r"""(?ai)(?<![a-z0-9])(?:pwd|pass|password|passwd|secret|token|api_?key|secret_?access_?key)["']?\x20{0,8}[:=]\x20{0,8}["']?[^\s"']{4,}""")
+        self.endpoint = re.compile(r"""(?ai)(?:(?:https?|ftps?|ssh|s3|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{3,})|(?<![a-z0-9])(?:host|hostname|endpoint|server)["']?\x20{0,8}[:=]\x20{0,8}["']?[a-z0-9][a-z0-9.:-]{3,}""")
         self.scope = re.compile(r"\n[ \t]*\n")
 
 

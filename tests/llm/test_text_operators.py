@@ -69,6 +69,15 @@ def test_redaction_keeps_columns(spark):
     assert out.where("text is null").count() == d.where("text is null").count()
 
 
+def test_weak_parts_reach_to_their_ends(spark):
+    long = "k!" * 200
+    cases = [f"host=db.example.com pwd: {long}", f"https://x.example.com/{'p/' * 300}?sig=tail pwd: hunter2x", f"user={'u.' * 150} pwd: hunter2x", f"host={'h.' * 150} pwd: hunter2x"]
+    d = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    out = [r.text for r in secrets.redact_secrets(d).orderBy("doc_id").collect()]
+    assert out == ["[endpoint] [secret]", "[endpoint] [secret]", "[identifier] [secret]", "[endpoint] [secret]"]
+    assert secrets.written(secrets.scan(cases[0])[1]).endswith(f":{len(cases[0])}")
+
+
 # --- personal data ---------------------------------------------------------
 
 
