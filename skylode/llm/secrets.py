@@ -59,21 +59,28 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> tuple[list[
     between) and at most ``reach`` code points apart: an interval join of the
     parts with themselves, by a sweep over their starts. An identifier needs a
     secret, a secret any other role, an endpoint a secret. A weak part is reported
-    if it is linked, and covers no base span. A bundle is a run of linked parts.
+    if it is linked, and ends after any base span that it overlaps. A secret that goes
+    on from a base span needs no link, as it is the rest of it. A bundle is a run of linked parts.
     """
     if "=" not in text and ":" not in text:
         return [], 0
     role = {0: 1, 1: 0, 2: 1, 3: 0, 4: 1, 5: 2}  # identifier, secret, endpoint
     starts, ends = [s for s, _, _ in base], [e for _, _, e in base]
     weak = [(m.start(), k, m.end()) for k, rule in ((3, RULES.identifier), (4, RULES.secret), (5, RULES.endpoint)) for m in rule.finditer(text)]
-    # Base spans come with ends that may nest; any overlap leaves the base span alone.
+    # Base spans come with ends that may nest; a part that ends within one adds nothing to it.
     longest = max((e - s for s, _, e in base), default=0)
-    free = [w for w in weak if not any(ends[i] > w[0] for i in range(bisect_left(starts, w[0] - longest), bisect_left(starts, w[2])))]
+    free, rest = [], set()
+    for w in weak:
+        until = max((ends[i] for i in range(bisect_left(starts, w[0] - longest), bisect_left(starts, w[2])) if ends[i] > w[0]), default=-1)
+        if until < w[2]:
+            free.append(w)
+            if until >= 0 and w[1] == 4:
+                rest.add(w)
     if not free:
         return [], 0
     parts = sorted({*base, *free})
     breaks = [m.start() for m in RULES.scope.finditer(text)]
-    linked, bundles, open_until = set(), 0, -1
+    linked, bundles, open_until = rest, 0, -1
     # Sweep: of each role the part that reaches furthest to the right in the same scope so far.
     before: dict[int, tuple[int, int, Span]] = {}
     for part in parts:

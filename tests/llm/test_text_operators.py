@@ -78,6 +78,14 @@ def test_weak_parts_reach_to_their_ends(spark):
     assert secrets.written(secrets.scan(cases[0])[1]).endswith(f":{len(cases[0])}")
 
 
+def test_the_rest_of_a_base_span_is_redacted(spark):
+    cases = ["x password=abcdefghijkl!restOfIt y", "user=bob password=abcdefghijkl!restOfIt", "token=abcdefghijkl, then", "https://x.example.com/?token=abcdefghijkl&sig=!tail end", "password=abcdefghijkl\n\n!no"]
+    d = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    out = [r.text for r in secrets.redact_secrets(d).orderBy("doc_id").collect()]
+    assert out == ["x [assign] y", "[identifier] [assign]", "[assign] then", "[endpoint] end", "[assign]\n\n!no"]
+    assert secrets.written(secrets.scan(cases[0])[1]) == "assign:2:23,secret:2:32"
+
+
 # --- personal data ---------------------------------------------------------
 
 
