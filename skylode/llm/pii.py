@@ -273,10 +273,14 @@ def with_spans(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFr
         weak.append(_selected(kind, i, free, t, model, thresholds[kind]))
     own = own.withColumn("__weak", F.concat(*weak))
     order = lambda x: F.array_position(F.array(*map(F.lit, kinds)), x["kind"])
-    better = lambda a, b: (a["score"] > b["score"]) | ((a["score"] == b["score"]) & ((order(a) < order(b)) | ((order(a) == order(b)) & (a["s"] < b["s"]))))
-    best = F.filter("__weak", lambda x: ~F.exists("__weak", lambda o: (o["s"] < x["e"]) & (x["s"] < o["e"]) & better(o, x)))
+    # The best first; each stays that overlaps none that stays already.
+    ranked = F.sort_array(F.transform("__weak", lambda x: F.struct((-x["score"]).alias("r"), order(x).alias("o"), x["s"].alias("s"), x["e"].alias("e"))))
+    overlaps = lambda kept, x: F.exists(kept, lambda k: (k["s"] < x["e"]) & (x["s"] < k["e"]))
+    kept = F.aggregate(ranked, F.filter(ranked, lambda x: F.lit(False)), lambda done, x: F.when(overlaps(done, x), done).otherwise(F.concat(done, F.array(x))))
+    own = own.withColumn("__kept", kept)
+    best = F.filter("__weak", lambda x: F.exists("__kept", lambda k: (k["o"] == order(x)) & (k["s"] == x["s"]) & (k["e"] == x["e"])))
     whole = F.concat(F.transform("__base", lambda x: F.struct(x["kind"], x["s"], x["e"], F.lit(True).alias("base"))), F.transform(best, lambda x: F.struct(x["kind"], x["s"], x["e"], F.lit(False).alias("base"))))
-    return own.withColumn(into, whole).drop("__base", "__weak")
+    return own.withColumn(into, whole).drop("__base", "__weak", "__kept")
 
 
 def written(spans: Column) -> Column:

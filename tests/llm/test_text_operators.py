@@ -129,6 +129,18 @@ def test_pii_candidates_and_trees(spark):
     assert pii.scan_pii(d.limit(0)).count() == 0
 
 
+def test_a_span_dropped_for_another_drops_none_itself(spark, monkeypatch):
+    chain = [(0, 10, 0.5), (8, 20, 0.7), (18, 30, 0.9), (40, 50, 0.5), (45, 55, 0.5)]
+
+    def proposed(kind, *_):
+        own = [F.struct(F.lit(kind).alias("kind"), F.lit(s).cast("long").alias("s"), F.lit(e).cast("long").alias("e"), F.lit(p).alias("score")) for s, e, p in chain]
+        return F.array(*own) if kind == "id_like" else F.slice(F.array(*[x for x in own]), 1, 0)
+
+    monkeypatch.setattr(pii, "_selected", proposed)
+    row = pii.scan_pii(spark.createDataFrame([(1, "x")], "doc_id long, text string")).first()
+    assert (row.spans, row.n_selected) == ("id_like:0:10,id_like:18:30,id_like:40:50", 3)
+
+
 # --- exact duplicates ------------------------------------------------------
 
 
