@@ -30,3 +30,11 @@ def test_query_equals_its_sql(spark, duck, name):
         order = [d[0] for d in result.description]
         assert sorted(order) == columns
         assert found == sorted(tuple(cell(r[order.index(c)]) for c in columns) for r in result.fetchall())
+
+
+def test_the_split_is_one_of_scenes(spark):
+    from skylode.plans import manifests
+
+    folder = "/root/testdata/sf0.01"
+    scenes = manifests._images(spark, folder).select("scene").distinct().count()
+    assert manifests.dataset_split(spark, folder).select("group").distinct().count() == scenes > 200
