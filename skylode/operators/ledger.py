@@ -12,13 +12,13 @@ from skylode.functions.numbers import canonical, digest
 GENESIS = "0" * 64
 #: The default limits of the result gate.
 GATES = {"minimum_recall": 0.85, "maximum_fdr": 0.20, "maximum_map50_95_drop": 0.002, "maximum_aircraft_f1_drop": 0.005, "minimum_weak_group_f1_gain": 0.005}
-#: What a gate tells to do next.
+#: What a gate tells to do next; the leading words are fixed values.
 ACTIONS = {
-    "stop": "STOP: repair wiring/export evidence before interpreting accuracy.",
-    "gates": "REJECT: candidate violates competition hard gates.",
-    "damage": "REJECT: candidate damages localization quality or saturated aircraft performance.",
-    "hold": "HOLD: do not long-train; revise failure routing or data curriculum with the same control.",
-    "advance": "ADVANCE: repeat with a preregistered independent seed; only then enter finalist training.",
+    "stop": "STOP: the training signal or the exported model is unproven, so its accuracy says nothing yet.",
+    "gates": "REJECT: recall or false alarms are outside the limits.",
+    "damage": "REJECT: boxes or the aircraft group have become worse than the baseline allows.",
+    "hold": "HOLD: neither ship nor vehicle gains enough; change the data or the routing before a longer run.",
+    "advance": "ADVANCE: train once more from another seed and compare again.",
 }
 
 
@@ -162,6 +162,19 @@ def result_gate(models: DataFrame, baseline: str = "C0", gates: dict[str, float]
     return rows.select("model", passed.alias("passed"), failed.alias("failed"), *[v.alias(f"delta_{k}") for k, v in change.items()], action.alias("next_action"))
 
 
+def advancing(models: DataFrame, baseline: str = "C0", gates: dict[str, float] | None = None) -> DataFrame:
+    """One row (state, candidates, passing, best) of the gate over all models: whether there is a baseline, and the passing model with the highest map50_95.
+
+    Equal values go to the first name. Aggregates only, so models may be many.
+    """
+    verdicts = result_gate(models, baseline, gates).join(models.select("model", "map50_95"), "model")
+    found = models.agg(F.coalesce(F.bool_or(F.col("model") == baseline), F.lit(False)).alias("known"))
+    ahead = F.when(F.col("passed"), F.struct((-F.col("map50_95")).alias("m"), "model"))
+    summed = verdicts.agg(F.count("*").alias("candidates"), F.count_if("passed").alias("passing"), F.min(ahead)["model"].alias("best"))
+    state = F.when(~F.col("known"), "no baseline").when(F.col("candidates") == 0, "no candidates").when(F.col("passing") == 0, "none passes").otherwise("one advances")
+    return summed.join(found).select(state.alias("state"), "candidates", "passing", "best")
+
+
 def safety_gate(points: DataFrame, min_recall: float = 0.85, max_alarm: float = 0.20) -> DataFrame:
     """``points`` with recall_ok, alarm_ok and gate: the timing flag ``timing_ok`` may be null, and then the gate is unknown unless another part fails."""
     recall, alarm = F.col("recall") >= min_recall, F.col("false_alarm_rate") <= max_alarm

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skylode.functions import boxes
-from skylode.operators import datasets, records
+from skylode.operators import datasets, ledger, records
 from skylode.operators.audits import ContractError
 
 GT = "image string, gi long, box struct<x1:double,y1:double,x2:double,y2:double>, fine int, width int, height int"
@@ -90,14 +90,23 @@ def test_health_ranking_and_decisions():
     assert len(records.ranking_items(groups, {"total_seconds": 9})) == 7
     with pytest.raises(ContractError):
         records.ranking_items(groups, {})
-    assert records.decide({}, [])["status"] == "blocked"
-    assert "Advance b" in records.decide({"C0": 0.8, "a": 0.81, "b": 0.82}, ["a", "b"])["next_action"]
     assert records.find_fingerprint({"x": [{"dataset_fingerprint": "a" * 64}]}) == "a" * 64
     assert records.mismatches({"a": 1}, {"a": 2, "b": None}) == {"a": (1, 2)}
     assert records.cell(" 1e-3 ") == 0.001 and records.cell(" x ") == "x"
     assert records.nested_get({"a": {"b": 1}}, "a", "b") == 1 and records.nested_get({"a": 1}, "a", "b") is None
 
 
+def test_the_passing_model_with_the_best_metric_advances(spark):
+    columns = "model string, map50_95 double, recall double, false_alarm_rate double, f1_ship double, f1_aircraft double, f1_vehicle double, kd_health boolean, deploy_parity boolean"
+    fine = lambda m, v, ship=0.9: (m, v, 0.9, 0.1, ship, 0.95, 0.8, True, True)
+    base, rows = fine("C0", 0.8, 0.88), [fine("b", 0.81), fine("a", 0.81), fine("z", 0.9, 0.88)]
+    said = lambda x: tuple(ledger.advancing(spark.createDataFrame(x, columns)).first())
+    assert said([base, *rows]) == ("one advances", 3, 2, "a")
+    assert said([base, rows[2]]) == ("none passes", 1, 0, None)
+    assert said([base]) == ("no candidates", 0, 0, None)
+    assert said(rows)[0] == said([])[0] == "no baseline"
+
+
 def test_box_conversions_are_inverse(spark):
     one = spark.range(1).select(boxes.corners(F.lit(0.5), F.lit(0.4), F.lit(0.2), F.lit(0.1), F.lit(200.0), F.lit(100.0)).alias("b"))
     row = one.select(boxes.centred(F.col("b"), F.lit(200.0), F.lit(100.0)).alias("c"), boxes.letterboxed(F.col("b"), F.lit(200.0), F.lit(100.0)).alias("l")).first()
