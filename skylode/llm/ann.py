@@ -32,6 +32,18 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(-1, width)
 
 
+def inner(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """The inner products of rows with one vector (or with a row each), summed from the first component to the last.
+
+    Elementwise steps in one order, so a pair of vectors has one score wherever and with whatever others it is computed;
+    a matrix product rounds by its shape.
+    """
+    out = np.zeros(len(vectors))
+    for i in range(vectors.shape[1]):
+        out = out + vectors[:, i] * query[..., i]
+    return out
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """Rows (vec_id, embedding array<double>) of the vectors that take part: not null or zero, without null or non-finite components."""
     v = F.col("embedding")
@@ -122,6 +134,15 @@ def adaptive_scan(query: np.ndarray, points: np.ndarray, top: int, bound: float
     return places[near], read
 
 
+def _ids(scores: np.ndarray, members: list, count: int) -> list[tuple[float, int]]:
+    """The best (score, id) of classes with these scores and members, so many at most; ties by id."""
+    if len(scores) > count:
+        edge = np.partition(scores, -count)[-count]
+        kept = np.flatnonzero(scores >= edge)
+        scores, members = scores[kept], [members[i] for i in kept]
+    return sorted(((float(s), int(i)) for s, own in zip(scores, members, strict=True) for i in own), key=lambda x: (-x[0], x[1]))[:count]
+
+
 def _best(hits: DataFrame, count: int) -> DataFrame:
     """The best hits of each asker; a vector counts once."""
     order = Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id")
@@ -138,24 +159,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, lists: int |
     group is bounded however large a list. Scores are double-precision inner
     products of the original vectors; ties go to the smaller vec_id. Vectors
     that take no part (see :func:`usable`) are neither queries nor results; a
-    repeated vec_id counts once. Vectors of other lengths than the commonest
-    in the sample take no part. Empty tables give no rows.
+    repeated vec_id counts once, with its smallest vector. An inner product needs vectors
+    of one length: those of other lengths than the commonest in the table (the longest of several) take no part. Empty tables give no rows.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = usable(vectors).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    rows = cut(rows.withColumn("class", F.sha2(F.to_json("embedding"), 256)))
-    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec_id", "embedding").toArrow()
-    found = chosen.column("embedding").to_pylist()
-    if not found:
+    # Adding zero makes negative zeros positive, so that equal vectors are equal as text.
+    rows = cut(rows.withColumn("class", F.sha2(F.to_json(F.transform("embedding", lambda x: x + F.lit(0.0))), 256)))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    size = rows.groupBy(F.size("embedding").alias("width")).agg(F.count("*").alias("n"), F.max(norm).alias("m")).orderBy(F.desc("n"), F.desc("width")).first()
+    if size is None:
         return empty
-    width = max({len(x) for x in found}, key=lambda w: (sum(len(x) == w for x in found), w))
+    width = size["width"]
     rows = rows.where(F.size("embedding") == width)
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    size = rows.agg(F.count("*").alias("n"), F.max(norm).alias("m")).first()
+    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("class", "embedding").toArrow()
+    base = np.array(chosen.column("embedding").to_pylist())
     lists = lists or max(1, min(4096, size["n"] // LIST))
-    base = np.array([x for x in found if len(x) == width])
-    anchor_ids = [i for i, x in zip(chosen.column("vec_id").to_pylist(), found, strict=True) if len(x) == width][:ANCHORS]
     model = Model(base, lists, float(size["m"]))
     probes = probes or model.probes_for(base, top)
 
@@ -166,6 +186,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, lists: int |
     asking = cut(asked)
     classes = cut(classes.join(asking.select("class").distinct().withColumn("asks", F.lit(True)), "class", "left"))
 
+    # The anchors' classes, each with its smallest ids: so many rows at most, whatever the table.
+    names = spark.createDataFrame([(x,) for x in sorted(set(chosen.column("class").to_pylist()[:ANCHORS]))], "class string")
+    anchors = classes.join(F.broadcast(names), "class", "left_semi").select("embedding", "members").toArrow()
+    anchor_points, anchor_members = np.array(anchors.column("embedding").to_pylist()), anchors.column("members").to_pylist()
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = _matrix(batch.column("embedding"), width)
@@ -195,17 +220,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, lists: int |
             asks = np.array(right["query"].tolist(), np.float64)
             for name, ask_, bound, turned in zip(right["asker"], asks, right["bound"], model.rotated(asks, True), strict=True):
                 places, _ = adaptive_scan(turned, points, top + 1, bound)
-                scores = original[places] @ ask_
-                if len(places) > top + 1:
-                    few = np.argsort(-scores, kind="stable")
-                    edge = scores[few[top]]
-                    keep = scores >= edge
-                    places, scores = places[keep], scores[keep]
-                for place, score in zip(places, scores, strict=True):
-                    for vec_id in members[place]:
-                        out["asker"].append(name)
-                        out["score"].append(score)
-                        out["vec_id"].append(vec_id)
+                scores = inner(original[places], ask_)
+                for score, vec_id in _ids(scores, [members[i] for i in places], top + 1):
+                    out["asker"].append(name)
+                    out["score"].append(score)
+                    out["vec_id"].append(vec_id)
         return pd.DataFrame(out).astype({"score": "float64", "vec_id": "int64"})
 
     def scanned(ask: DataFrame) -> DataFrame:
@@ -219,11 +238,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, lists: int |
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = _matrix(batch.column("query"), width) @ model.anchors.T
-            few = np.argsort(-scores, axis=1, kind="stable")[:, : top + 1]
-            score, vec_id = np.take_along_axis(scores, few, 1), np.array(anchor_ids, np.int64)[few]
-            asker = batch.column("asker").take(pa.array(np.repeat(np.arange(len(scores)), few.shape[1])))
-            yield pa.RecordBatch.from_arrays([asker, pa.array(score.ravel()), pa.array(vec_id.ravel())], names=["asker", "score", "vec_id"])
+            asks = _matrix(batch.column("query"), width)
+            rough = asks @ anchor_points.T
+            few = np.argpartition(-rough, min(top, rough.shape[1] - 1), axis=1)[:, : top + 1]
+            found = [(at, own[0], own[1]) for at, (ask, near) in enumerate(zip(asks, few, strict=True)) for own in _ids(inner(anchor_points[near], ask), [anchor_members[i] for i in near], top + 1)]
+            asker = batch.column("asker").take(pa.array([x[0] for x in found], pa.int64()))
+            yield pa.RecordBatch.from_arrays([asker, pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.int64())], names=["asker", "score", "vec_id"])
 
     # The anchors that gave the first bound are found already, so no query is left with fewer than its share.
     known = map_arrow(probing.select("asker", "query"), anchored, "asker string, score double, vec_id long")

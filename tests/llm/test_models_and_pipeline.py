@@ -51,6 +51,34 @@ def test_neighbours_equal_brute_force(spark):
     assert ann.nearest(df.limit(0), df).count() == 0
 
 
+def test_equal_vectors_have_equal_scores_and_stand_by_id(spark):
+    random_ = np.random.default_rng(5)
+    base = random_.standard_normal((700, 12)).astype(np.float32)
+    base[1] = -base[0]
+    rows = [(3 * i + copy, base[i].tolist()) for i in range(700) for copy in range(3 if i % 2 else 2)]
+    rows += [(9000, [0.0, *base[4, 1:].tolist()]), (9001, [-0.0, *base[4, 1:].tolist()]), (9002, [1.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    held = {i: np.array(v, np.float64) for i, v in rows}
+    out = {}
+    for x in ann.nearest(df, df.where("vec_id % 20 = 0 or vec_id >= 9000"), lists=7, probes=5).collect():
+        out.setdefault(x.query_id, []).append((x["rank"], -x.score, x.vec_id))
+    assert len(out) == len([i for i in held if i % 20 == 0 or i >= 9000]) - 1 and 9002 not in out
+    for q, found in out.items():
+        found.sort()
+        assert [r for r, _, _ in found] == [*range(1, 21)]
+        assert [x[1:] for x in found] == sorted(x[1:] for x in found), q
+        by_vector = {}
+        for _, score, i in found:
+            by_vector.setdefault((held[i] + 0.0).tobytes(), {"scores": set(), "ids": []})
+            by_vector[(held[i] + 0.0).tobytes()]["scores"].add(score)
+            by_vector[(held[i] + 0.0).tobytes()]["ids"].append(i)
+        last = (held[found[-1][2]] + 0.0).tobytes()
+        for vector, own in by_vector.items():
+            every = [i for i, v in held.items() if len(v) == 12 and (v + 0.0).tobytes() == vector and i != q]
+            assert len(own["scores"]) == 1 and own["ids"] == sorted(own["ids"])
+            assert own["ids"] == sorted(every)[: len(own["ids"])] and (vector == last or len(own["ids"]) == len(every))
+
+
 def test_recall_on_the_small_table(spark):
     out = queries.op5_nearest(spark, SMALL).collect()
     held = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()]
