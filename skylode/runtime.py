@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import shutil
+import sys
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_written: list[tuple] = []
 _own: dict[str, str] = {}
 
 
@@ -33,36 +35,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session gets a folder of its own; a cluster, whose executors would each write to another disk, an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
-    return named or _own.setdefault(app, f"file://{tempfile.mkdtemp(prefix='skylode-')}")
+    return _own.setdefault(app, f"file://{tempfile.mkdtemp(prefix='skylode-')}")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, name: str = "") -> DataFrame:
     """Writes a table to the shared folder and reads it again.
 
     The lineage ends there: a lost executor costs no recomputation of what
-    came before, and an iterative plan stays as small as its last round.
+    came before, and an iterative plan stays as small as its last round. The tables stay until the process ends or :func:`clear` is called.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skylode/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_dir(spark)}/skylode/{uuid.uuid4().hex}{name and '-'}{name}"
     if not _written:
-        atexit.register(_clear)
-    _written.append((spark, path))
+        atexit.register(clear)
+    # The settings are held too, as a stopped session no longer gives them.
+    _written.append((spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path))
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _clear() -> None:
-    for spark, path in _written:
+def clear() -> None:
+    """Deletes every table that :func:`cut` has written; results that still read them can't be read any more. It works after the session has been stopped, too."""
+    while _written:
+        jvm, conf, path = _written.pop()
+        target = jvm.org.apache.hadoop.fs.Path(path)
         try:
-            _delete(spark, path)
-        except Exception:  # the session is gone; the folder belongs to it
-            return
+            target.getFileSystem(conf).delete(target, True)
+        except Exception as e:  # at the end of the process nothing can be done about a store that refuses
+            print(f"{path} isn't deleted: {e}", file=sys.stderr)
+    for path in _own.values():
+        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+    _own.clear()
