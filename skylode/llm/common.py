@@ -9,8 +9,9 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 import skylode
 
@@ -44,3 +45,19 @@ def map_arrow(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterat
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """A column of texts; null counts as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]
+
+
+def _hashable(kind: DataType) -> bool:
+    parts = [f.dataType for f in kind.fields] if isinstance(kind, StructType) else [kind.elementType] if isinstance(kind, ArrayType) else []
+    return not isinstance(kind, MapType) and kind.typeName() != "variant" and all(map(_hashable, parts))
+
+
+def keep_rows(docs: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
+    """One row of ``docs``, all columns, for each ``key`` in ``wanted``; of several rows with a key that with the least hash of its columns.
+
+    Rows of a key meet in the map side first, and the join finds them dealt by the key already.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    order = F.xxhash64(*[c for c, f in zip(columns, docs.schema, strict=True) if _hashable(f.dataType)])
+    rows = docs.select(F.struct(*columns).alias("row"), key.alias("key"), order.alias("order"))
+    return rows.groupBy("key").agg(F.min_by("row", "order").alias("row")).join(wanted.select("key"), "key", "left_semi").select("row.*")

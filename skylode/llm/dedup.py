@@ -7,6 +7,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skylode.llm.common import keep_rows
+
 SALTS = 16
 
 
@@ -35,10 +37,7 @@ def exact_duplicates(docs: DataFrame, salts: int = SALTS, digest=lambda text: F.
     counted, and each is marked as kept if the document is. An empty table gives
     no rows. Other columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("content"))
-    rows = rows.withColumn("digest", digest(F.col("content"))).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-    merged = rows.groupBy("salt", "digest", "content").agg(F.max("doc_id").alias("top"), F.count("*").alias("n"))
-    winners = merged.groupBy("digest", "content").agg(F.max("top").alias("keep_id"), F.sum("n").alias("group_size"))
+    rows, winners = _winners(docs, salts, digest)
     identity = ["digest", F.xxhash64("content").alias("second"), F.octet_length("content").alias("octets")]
     groups = winners.select(*identity, F.sha2("content", 256).alias("text_sha256"), "keep_id", "group_size")
     return (
@@ -48,6 +47,25 @@ def exact_duplicates(docs: DataFrame, salts: int = SALTS, digest=lambda text: F.
     )
 
 
+def _winners(docs: DataFrame, salts: int, digest) -> tuple[DataFrame, DataFrame]:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("content"))
+    rows = rows.withColumn("digest", digest(F.col("content"))).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+    merged = rows.groupBy("salt", "digest", "content").agg(F.max("doc_id").alias("top"), F.count("*").alias("n"))
+    return rows, merged.groupBy("digest", "content").agg(F.max("top").alias("keep_id"), F.sum("n").alias("group_size"))
+
+
+def keep_one(docs: DataFrame, salts: int = SALTS) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: exactly one of each group of equal normalised texts, that with the largest doc_id.
+
+    Of several rows with that doc_id (repeated rows, or texts that differ in capitals alone) one stays, and of a group without any doc_id too.
+    Null texts count as empty. An empty table gives no rows.
+    """
+    _, winners = _winners(docs, salts, lambda text: F.sha2(text, 256))
+    key = lambda digest, octets, doc_id: F.concat_ws(":", digest, octets.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("-")))
+    wanted = winners.select(key(F.col("digest"), F.octet_length("content"), F.col("keep_id")).alias("key"))
+    return keep_rows(docs, key(F.sha2(normalised(), 256), F.octet_length(normalised()), F.col("doc_id").cast("long")), wanted)
+
+
 ORACLE = """
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h FROM documents),
      g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY h)

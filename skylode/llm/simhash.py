@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skylode.llm.common import map_arrow, texts
+from skylode.llm.common import keep_rows, map_arrow, texts
 from skylode.operators.graph import connected_components
 from skylode.runtime import cut
 
@@ -76,8 +76,8 @@ def _name(own: np.ndarray) -> int:
     return named - (1 << 64) if named >> 63 else named
 
 
-def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
-    """Rows (doc_id, node, size, sketch array<long>, keys array<long>): name and size of the set of shingles, two bits of each of the smallest hash values, and keys of pairs of these."""
+def sketches(docs: DataFrame, words: int = 5, row: Column | None = None) -> DataFrame:
+    """Rows (doc_id, row, node, size, sketch array<long>, keys array<long>): what ``row`` gives, name and size of the set of shingles, two bits of each of the smallest hash values, and keys of pairs of these."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         random = np.random.default_rng(SEED)
@@ -99,9 +99,10 @@ def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
                 pair = low[: 2 * BANDED].astype(np.uint64)
                 keys.append(((pair[0::2] << np.uint64(32) | pair[1::2]) * np.uint64(0x9E3779B97F4A7C15) + np.arange(BANDED, dtype=np.uint64)).view(np.int64))
             lists = [pa.array([x.tolist() for x in c], pa.list_(pa.int64())) for c in (bits, keys)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), *lists], names=["doc_id", "node", "size", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), *lists], names=["doc_id", "row", "node", "size", "sketch", "keys"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), kernel, "doc_id long, node long, size long, sketch array<long>, keys array<long>")
+    own = F.lit("") if row is None else row
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", own.alias("row")), kernel, "doc_id long, row string, node long, size long, sketch array<long>, keys array<long>")
 
 
 def pivots(count: int = PIVOTS) -> list[int]:
@@ -186,40 +187,74 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, crowd: i
     return found.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-def _alike_sets(pairs: pa.Table, sets: pa.Table, similarity: float) -> pa.Table:
-    """Of pairs (u, v) those whose sets are alike, less pairs that others of the cell connect already."""
-    place = {n: i for i, n in enumerate(sets.column("node").to_pylist())}
-    own = [np.frombuffer(x, "<u8") for x in sets.column("own").to_pylist()]
-    values = np.unique(np.concatenate([*own, np.zeros(0, "<u8")]))
-    own = [np.searchsorted(values, x) for x in own]
-    marked, parent, out, last = np.zeros(len(values), bool), list(range(len(own))), [], None
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
+class _Forest:
+    """Which nodes are connected, by union and find; and the links that connected them."""
+
+    def __init__(self, components: list[int]):
+        first: dict[int, int] = {}
+        self.parent = [first.setdefault(c, i) for i, c in enumerate(components)]
+        self.links: list[tuple[int, int]] = []
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
         return i
 
-    for u, v in sorted(zip(pairs.column("u").to_pylist(), pairs.column("v").to_pylist(), strict=True)):
-        a, b = place[u], place[v]
-        if root(a) == root(b):
-            continue
-        if a != last:
-            if last is not None:
-                marked[own[last]] = False
-            marked[own[a]], last = True, a
-        both = int(np.count_nonzero(marked[own[b]]))
-        if both + 1e-9 >= similarity * (len(own[a]) + len(own[b]) - both):
-            parent[root(b)] = root(a)
-            out.append((u, v))
-    return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([x for _, x in out], pa.int64())})
+    def link(self, pairs: list[tuple[int, int]], sets: list[np.ndarray], similarity: float) -> None:
+        """Joins the pairs of places, in order, whose sets are alike, but for those that are connected by then. Each set is in order."""
+        needed = sorted({i for p in pairs for i in p})
+        values = np.unique(np.concatenate([*(sets[i] for i in needed), np.zeros(0, "<u8")]))
+        own = {i: np.searchsorted(values, sets[i]).astype(np.int32) for i in needed}
+        marked, last = np.zeros(len(values), bool), None
+        for a, b in pairs:
+            if self.root(a) == self.root(b):
+                continue
+            if a != last:
+                if last is not None:
+                    marked[own[last]] = False
+                marked[own[a]], last = True, a
+            both = int(np.count_nonzero(marked[own[b]]))
+            if both + 1e-9 >= similarity * (len(own[a]) + len(own[b]) - both):
+                self.parent[self.root(b)] = self.root(a)
+                self.links.append((a, b))
+
+    def table(self, nodes: list[int]) -> pa.Table:
+        return pa.table({c: pa.array([nodes[x[i]] for x in self.links], pa.int64()) for i, c in enumerate("uv")})
+
+
+def _sets(table: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("own")]
+
+
+def _verified_pairs(pairs: pa.Table, sets: pa.Table, similarity: float) -> pa.Table:
+    """Of pairs (u, v) those whose sets are alike, less pairs that others of the cell connect already."""
+    nodes = sets.column("node").to_pylist()
+    place = {n: i for i, n in enumerate(nodes)}
+    forest = _Forest(nodes)
+    forest.link([(place[u], place[v]) for u, v in sorted(zip(pairs.column("u").to_pylist(), pairs.column("v").to_pylist(), strict=True))], _sets(sets), similarity)
+    return forest.table(nodes)
+
+
+def shingle_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """Rows (node, own binary): the sets of the classes that ``nodes`` names, made anew from one text of each."""
+    chosen = classes.join(nodes, "node", "left_semi").select(F.col("least").alias("chosen")).distinct()
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [_distinct(x, words) for x in texts(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["node", "own"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi")
+    # An id may have several texts, and null stands for many, so names decide.
+    return map_arrow(rows.select("text"), kernel, "node long, own binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Links (u, v) that connect what those of ``pairs`` connect whose sets of shingles are alike by ``similarity``, counted exactly.
 
-    The sets are made anew, from one text of each class that a pair names. Pairs are dealt to cells by u, and each cell gets the sets
-    that its pairs name once.
+    Pairs are dealt to cells by u, and each cell gets the sets that its pairs name once.
     """
     pairs = cut(pairs.distinct())
     nodes = cut(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
@@ -227,46 +262,72 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int,
     if not count:
         return pairs
     cells = pairs.withColumn("cell", F.pmod(F.xxhash64("u"), F.lit(LEADER_SALTS + count // CELL)))
-    chosen = classes.join(nodes, "node", "left_semi").select(F.col("least").alias("chosen")).distinct()
+    needed = cells.select(F.col("cell").alias("to"), F.explode(F.array("u", "v")).alias("node")).distinct().join(shingle_sets(docs, classes, nodes, words), "node")
+    return cut(cells.groupBy("cell").cogroup(needed.groupBy("to")).applyInArrow(lambda a, b: _verified_pairs(a, b, similarity), "u long, v long"))
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [_distinct(x, words) for x in texts(batch)]
-            yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["node", "own"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi")
-    # An id may have several texts, and null stands for many, so names decide.
-    sets = map_arrow(rows.select("text"), kernel, "node long, own binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
-    needed = cells.select(F.col("cell").alias("to"), F.explode(F.array("u", "v")).alias("node")).distinct().join(sets, "node")
-    return cut(cells.groupBy("cell").cogroup(needed.groupBy("to")).applyInArrow(lambda a, b: _alike_sets(a, b, similarity), "u long, v long"))
+def _passing(similarity: float) -> float:
+    """The least share of equal sketch values, less what chance gives, that a pair of this similarity shows but for a few standard errors."""
+    equal = 0.25 + 0.75 * similarity
+    return similarity - ERRORS * (equal * (1 - equal) / HASHES) ** 0.5 / 0.75
 
 
-def alike_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Rows (doc_id, component_id), one for each row of ``docs``: components of texts whose shingle sets are alike to this degree.
+def _matrix(table: pa.Table, column: str, width: int) -> np.ndarray:
+    return np.asarray(table.column(column).combine_chunks().flatten(), np.int64).reshape(-1, width)
 
-    At 0.8 the fingerprints of two texts differ by ten bits or so, too many for keys that lose no pair, so
-    candidates share the two smallest hash values of one of ten bands: at 0.8 all bands
-    miss with probability (1 - 0.8^2)^10 < 1e-4. The sizes of the sets must allow the similarity, and the share of
-    equal pairs of bits in the sketches, less what chance gives, must reach it less four standard errors (a miss in 30,000 at 0.8). Both only
-    filter: what is left is linked if the sets themselves are alike.
 
-    Every pair that shares a key is tested, or in one component already. Buckets of up to 64 are compared pair by pair. The members
-    of a larger one, such as thousands of copies of a text, are compared with a leader first. Then those of different components
-    are compared pair by pair, in blocks, each pair in the first bucket that it shares; a bucket that has become one component needs none of this.
+def _linked_cell(rows: pa.Table, similarity: float) -> pa.Table:
+    """The links of one cell: members of one block of a bucket with each other, or those of one block with those of another.
 
-    Texts with equal sets are one class. Null texts count as empty; texts without words are alike. A null doc_id keeps its row
-    and is no component's id unless the component has no other. Repeated rows stay repeated; an empty table gives no rows.
+    Pairs are sifted by sketch and size, in matrices; what passes, is in different components and has not met in the bucket of an earlier key, is verified
+    at once. Only links leave the cell, fewer than it has members.
     """
-    found = cut(sketches(docs, words))
+    rows = rows.sort_by([("block", "ascending"), ("node", "ascending")])
+    sketch, keys = _matrix(rows, "sketch", HASHES // 32).view(np.uint64), _matrix(rows, "keys", BANDED)
+    block, size, component = (rows.column(c).to_numpy() for c in ("block", "size", "component"))
+    band, odd = rows.column("band")[0].as_py(), np.uint64(0x5555555555555555)
+    second = np.flatnonzero(block == block[-1])
+    pairs = []
+    for a in np.flatnonzero(block == block[0]):
+        others = second[second > a]
+        apart = sketch[others] ^ sketch[a]
+        unequal = np.bitwise_count((apart | apart >> np.uint64(1)) & odd).sum(axis=1)
+        fine = ((1 - unequal / HASHES) - 0.25) / 0.75 >= _passing(similarity)
+        fine &= np.minimum(size[others], size[a]) + 1e-9 >= similarity * np.maximum(size[others], size[a])
+        fine &= (component[others] != component[a]) & ~(keys[others, :band] == keys[a, :band]).any(axis=1)
+        near = others[fine]
+        pairs += [(int(a), int(b)) for b in near[np.argsort(unequal[fine], kind="stable")]]
+    nodes = rows.column("node").to_pylist()
+    forest = _Forest(component.tolist())
+    if pairs:
+        forest.link(pairs, _sets(rows), similarity)
+    return forest.table(nodes)
+
+
+def _in_blocks(docs: DataFrame, classes: DataFrame, hot: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The links (u, v) inside buckets ``hot`` between members that ``links`` leave in different components, each pair tested in the first bucket that it shares."""
+    known = cut(hot.drop("size").join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node")))
+    parted = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK))
+    dealt = cut(known.join(parted, "key", "left_semi").withColumn("blocks", blocks).select("node", "component", "key", "band", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")))
+    nodes = cut(dealt.select("node").distinct())
+    members = cut(shingle_sets(docs, classes, nodes, words).join(classes.select("node", "size", "sketch", "keys"), "node"))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = cells.select("node", "component", "key", "band", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    columns = ("key", "i", "j", "node", "component", "band", "block", "size", "sketch", "keys", "own")
+    return cut(cells.join(members, "node").select(*columns).groupBy("key", "i", "j").applyInArrow(lambda t: _linked_cell(t, similarity), "u long, v long"))
+
+
+def _labelled(docs: DataFrame, words: int, similarity: float, row: Column | None = None) -> DataFrame:
+    """Rows (doc_id, row, component, component_id), see :func:`alike_documents`; ``component`` names the component whether it has an id or not."""
+    found = cut(sketches(docs, words, row))
     classes = cut(found.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")))
-    words_of, keys_of = [F.col("sketch")[i].alias(f"s{i}") for i in range(HASHES // 32)], [F.col("keys")[i].alias(f"k{i}") for i in range(BANDED)]
-    keyed = classes.select("node", "size", *words_of, *keys_of, F.posexplode("keys").alias("band", "key"))
+    keyed = classes.select("node", "size", F.posexplode("keys").alias("band", "key"))
     shared = cut(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("key", "node")).alias("leader")).where("n > 1"))
     rows = cut(keyed.join(shared, "key"))
+    words_of = [F.col("sketch")[i].alias(f"s{i}") for i in range(HASHES // 32)]
+    drawn = classes.select("node", *words_of)
     calm, hot = rows.where(F.col("n") <= SMALL_BUCKET), rows.where(F.col("n") > SMALL_BUCKET)
-    equal = 0.25 + 0.75 * similarity
-    least = similarity - ERRORS * (equal * (1 - equal) / HASHES) ** 0.5 / 0.75
 
     def alike(a: str, b: str) -> Column:
         x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
@@ -275,39 +336,59 @@ def alike_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
             z = F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))
             unequal = unequal + F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(0x5555555555555555)))
         share = (F.lit(1.0) - unequal / F.lit(float(HASHES)) - 0.25) / 0.75
-        return (F.least(x, y) + 1e-9 >= similarity * F.greatest(x, y)) & (share >= least)
+        return (F.least(x, y) + 1e-9 >= similarity * F.greatest(x, y)) & (share >= _passing(similarity))
 
     def near(a: DataFrame, b: DataFrame, on: Column) -> DataFrame:
         return a.alias("a").join(b.alias("b"), on & alike("a", "b")).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
 
     same_key = F.col("a.key") == F.col("b.key")
-    candidates = near(calm, calm, same_key & (F.col("a.node") < F.col("b.node")))
+    meeting = calm.join(drawn, "node")
+    candidates = near(meeting, meeting, same_key & (F.col("a.node") < F.col("b.node")))
     crowded = not hot.isEmpty()
     if crowded:
         # Members are salted, and each leader goes to every salt: the members of one bucket spread over that many tasks.
-        salted = hot.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(LEADER_SALTS)))
+        members = hot.join(drawn, "node")
+        salted = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(LEADER_SALTS)))
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LEADER_SALTS - 1).cast("long")))
-        leaders = hot.where("node = leader").withColumn("salt", every)
+        leaders = members.where("node = leader").withColumn("salt", every)
         candidates = candidates.unionByName(near(salted, leaders, same_key & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.node") != F.col("b.node"))))
     links = verified(docs, classes, candidates, words, similarity)
     if crowded:
-        known = cut(hot.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node")))
-        parted = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        blocks = F.ceil(F.col("n") / F.lit(BLOCK))
-        dealt = cut(known.join(parted, "key", "left_semi").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), blocks)).drop("n", "leader"))
-        left = dealt.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence("block", F.col("blocks") - 1)))
-        right = dealt.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))))
-        cell = same_key & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
-        once = (F.col("a.i") < F.col("a.j")) | (F.col("a.node") < F.col("b.node"))
-        for i in range(BANDED - 1):
-            once = once & ((F.col("a.band") <= i) | (F.col(f"a.k{i}") != F.col(f"b.k{i}")))
-        # A sort-merge join spreads the cells over the tasks, however few bytes they have.
-        more = near(left, right.hint("merge"), cell & (F.col("a.component") != F.col("b.component")) & once)
-        links = links.unionByName(verified(docs, classes, more, words, similarity))
+        links = links.unionByName(_in_blocks(docs, classes, hot, links, words, similarity))
     groups = connected_components(links)
     labels = cut(classes.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "least"))
     smallest = labels.groupBy("component").agg(F.min("least").alias("component_id"))
-    return found.select("doc_id", "node").join(labels.join(smallest, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return found.select("doc_id", "row", "node").join(labels.join(smallest, "component").select("node", "component", "component_id"), "node").select("doc_id", "row", "component", "component_id")
+
+
+def alike_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Rows (doc_id, component_id), one for each row of ``docs``: components of texts whose shingle sets are alike to this degree.
+
+    At 0.8 the fingerprints of two texts differ by ten bits or so, too many for keys that lose no pair, so
+    candidates share the two smallest hash values of one of ten bands: at 0.8 all bands
+    miss with probability (1 - 0.8^2)^10 < 1e-4. The sizes of the sets must allow the similarity, and the share of
+    equal pairs of bits in the sketches, less what chance gives, must reach it less four standard errors (a miss in 30,000 at 0.8). Both only
+    filter: what is left is linked if the sets themselves are alike.
+
+    Every pair that shares a key is tested, or in one component already. Buckets of up to 64 are compared pair by pair. The members
+    of a larger one, such as thousands of copies of a text, are compared with a leader first. Then the buckets that still have several
+    components are cut into blocks, which meet each other in cells of bounded size; a cell tests its pairs itself and gives links alone.
+
+    Texts with equal sets are one class. Null texts count as empty; texts without words are alike. A null doc_id keeps its row
+    and is no component's id unless the component has no other. Repeated rows stay repeated; an empty table gives no rows.
+    """
+    return _labelled(docs, words, similarity).select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: exactly one of each of the components of :func:`alike_documents`, that with the smallest doc_id.
+
+    Rows without a doc_id come last; repeated rows, and rows that share an id inside a component, leave one.
+    """
+    key = F.concat_ws(":", F.sha2(F.coalesce("text", F.lit("")), 256), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")))
+    labels = _labelled(docs, words, similarity, key)
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")
+    return keep_rows(docs, key, labels.groupBy("component").agg(F.min(order)["row"].alias("key")))
 
 
 def hex64(fp: str = "fp") -> Column:

@@ -172,3 +172,20 @@ def test_stages_take_empty_documents(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:
         assert stage(spark, docs, SMALL).count() == 0
+
+
+def test_dedup_stages_leave_one_row_of_each_group(spark):
+    import corpus_pipeline as cp
+
+    long = " ".join(f"word{i}" for i in range(60))
+    rows = [(7, "x dup"), (7, "y other"), (9, "X dup"), (1, "same text"), (1, "same text"), (1, "Same text"), (None, "no id"), (None, "no id"), (None, None), (None, ""), (4, long), (4, long + " more"), (5, long.upper()), (None, long + " tail")]
+    docs = spark.createDataFrame([(i, t, "en", {"row": t or ""}, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, key string, order map<string,string>, n_chars long")
+    out = cp.exact(spark, docs, "")
+    assert out.schema == docs.schema
+    found = sorted([(x.doc_id or 0, (x.text or "").lower()) for x in out.collect()])
+    assert found == sorted([(7, "y other"), (9, "x dup"), (1, "same text"), (0, "no id"), (0, ""), (4, long + " more"), (5, long), (0, long + " tail")])
+    assert sorted(map(str, out.collect())) == sorted(map(str, cp.exact(spark, docs.repartition(7), "").collect()))
+    left = cp.near(spark, out, "")
+    assert left.schema == docs.schema
+    assert sorted([(x.doc_id or 0, (x.text or "").lower()) for x in left.collect()]) == sorted([(7, "y other"), (9, "x dup"), (1, "same text"), (0, "no id"), (0, ""), (4, long + " more")])
+    assert cp.near(spark, docs, "").count() == 6 and cp.near(spark, docs.limit(0), "").count() == cp.exact(spark, docs.limit(0), "").count() == 0
