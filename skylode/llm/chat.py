@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skylode.llm.common import scanned
+
 #: Roles whose text a model is trained on.
 LEARNED = ("assistant",)
 ROW = "struct<turn:bigint,role:string,text:string>"
@@ -19,17 +21,30 @@ def _rendered(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda x: F.concat(_head(x), x["text"], F.lit("\n"))), "")
 
 
-def _mask(turns: Column, learned: tuple[str, ...]) -> Column:
+def _mask(turns: str, learned: tuple[str, ...]) -> Column:
     """start:end of the learned turns' texts in the rendered completion, in code points, comma-joined."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    begins, roles = "(s_.state + length(x.role) + 5)", ", ".join(f"'{r}'" for r in learned) or "null"  # a header is the role and five characters
+    ends = f"({begins} + length(x.text))"
+    span = f"if(x.role in ({roles}), concat_ws(':', {begins}, {ends}), null)"
+    return F.array_join(F.expr(scanned(turns, "0L", f"{ends} + 1", span, "string"))["out"], ",")  # nulls are left out
+
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(_head(x))
-        e = s + F.length(x["text"])
-        own = F.when(x["role"].isin(*learned), F.array(F.concat_ws(":", s.cast("string"), e.cast("string")))).otherwise(F.expr("cast(array() as array<string>)"))
-        return F.struct((e + 1).alias("at"), F.concat(acc["out"], own).alias("out"))
+def with_other_answers(turns: DataFrame, answering: str = "assistant") -> tuple[DataFrame, DataFrame]:
+    """Chosen and rejected sides (pair_id, turn, role, text) made of conversations (conv_id, turn, role, text) alone.
 
-    return F.array_join(F.aggregate(turns, start, step, lambda a: a["out"]), ",")
+    Chosen is a conversation up to its last answer. Rejected is the same but for that answer, whose place takes the last answer of a neighbour, the conversation
+    whose id differs in the last bit; a conversation without such a neighbour, or whose neighbour has no answer, has nothing there. A conversation without an answer is
+    whole on both sides. Turns without a number come first. Of several answers with the last number the greatest text is the
+    neighbour's. Rows with a null conv_id are left out. Last answers are found by a partial aggregate, neighbours by an equi-join.
+    """
+    rows = turns.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("pair_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    last = F.max(F.when((F.col("role") == answering) & F.col("turn").isNotNull(), F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))
+    answers = rows.groupBy("pair_id").agg(last.alias("last"))
+    placed = rows.join(answers.select("pair_id", F.col("last.turn").alias("until")), "pair_id")
+    early = F.col("until").isNull() | F.col("turn").isNull()
+    donors = answers.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("last.text").alias("text")).where("text is not null")
+    other = answers.where("last is not null").join(donors, "pair_id").select("pair_id", F.col("last.turn").alias("turn"), F.lit(answering).alias("role"), "text")
+    return placed.where(early | (F.col("turn") <= F.col("until"))).drop("until"), placed.where(early | (F.col("turn") < F.col("until"))).drop("until").unionByName(other)
 
 
 def preference_pairs(chosen: DataFrame, rejected: DataFrame, learned: tuple[str, ...] = LEARNED) -> DataFrame:
@@ -65,17 +80,22 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, learned: tuple[str,
         F.when(F.col("k") > 0, _rendered(F.slice("c", F.lit(1), F.col("k")))).otherwise("").alias("prompt"),
         there("c", _rendered(F.col("cc"))).alias("chosen"),
         there("r", _rendered(F.col("rr"))).alias("rejected"),
-        there("c", _mask(F.col("cc"), learned)).alias("chosen_mask"),
-        there("r", _mask(F.col("rr"), learned)).alias("rejected_mask"),
+        there("c", _mask("cc", learned)).alias("chosen_mask"),
+        there("r", _mask("rr", learned)).alias("rejected_mask"),
         F.size("cc").cast("long").alias("n_chosen_turns"),
         F.size("rr").cast("long").alias("n_rejected_turns"),
     )
 
 
-#: Conversations 2k and 2k + 1 make pair k, as the table has no pairs of its own.
+#: Each conversation against itself with a neighbour's last answer, see :func:`with_other_answers`.
 ORACLE = """
-WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n,
-                  coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+     l AS (SELECT conv_id, turn AS last, max(coalesce(text, '')) AS answer FROM c WHERE role = 'assistant' AND turn IS NOT NULL GROUP BY conv_id, turn QUALIFY turn = max(turn) OVER (PARTITION BY conv_id)),
+     s AS (SELECT c.*, 0 AS side FROM c LEFT JOIN l USING (conv_id) WHERE last IS NULL OR turn IS NULL OR turn <= last
+           UNION ALL SELECT c.*, 1 FROM c LEFT JOIN l USING (conv_id) WHERE last IS NULL OR turn IS NULL OR turn < last
+           UNION ALL SELECT l.conv_id, l.last, 'assistant', o.answer, 1 FROM l JOIN l o ON o.conv_id = xor(l.conv_id, 1)),
+     t AS (SELECT conv_id AS pair_id, side, row_number() OVER (PARTITION BY conv_id, side ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n,
+                  coalesce(role, '') AS role, coalesce(text, '') AS text FROM s),
      j AS (SELECT pair_id, n, count(*) FILTER (side = 0) AS a, count(*) FILTER (side = 1) AS b,
                   coalesce(min(role) = max(role) AND min(text) = max(text) AND count(*) = 2, false) AS same FROM t GROUP BY pair_id, n),
      k AS (SELECT pair_id, coalesce(min(n) FILTER (NOT same) - 1, max(n)) AS k, sum(a) AS a, sum(b) AS b FROM j GROUP BY pair_id),

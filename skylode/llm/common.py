@@ -61,3 +61,33 @@ def keep_rows(docs: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
     order = F.xxhash64(*[c for c, f in zip(columns, docs.schema, strict=True) if _hashable(f.dataType)])
     rows = docs.select(F.struct(*columns).alias("row"), key.alias("key"), order.alias("order"))
     return rows.groupBy("key").agg(F.min_by("row", "order").alias("row")).join(wanted.select("key"), "key", "left_semi").select("row.*")
+
+
+#: Items that a scan takes at a time.
+CHUNK = 128
+
+
+def let(value: str, name: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` for a value that is computed once, however often ``body`` names it."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def scanned(items: str, zero: str, step: str, emit: str, kind: str) -> str:
+    """SQL: a fold over an array that also gives a value of type ``kind`` for each item, as a struct (state, out).
+
+    ``step`` makes the next state of a state ``s_.state`` and an item ``x``, ``emit`` the value. A fold copies its state with each step, so a
+    list that grows inside one costs the square of its length. Here an inner fold gathers the values of a chunk, and an outer one those of the chunks.
+    SQL text, as a plan of some thousand nodes is parsed faster than it is put together call by call.
+    """
+    inner = f"named_struct('state', {step}, 'part', concat(s_.part, array({emit})))"
+    one = f"(s_, x) -> {inner}"
+    chunk = f"(acc, part) -> aggregate(part, named_struct('state', acc.state, 'part', cast(array() as array<{kind}>)), {one}, r -> named_struct('state', r.state, 'done', concat(acc.done, array(r.part))))"
+    chunks = f"transform(sequence(1, greatest(size(own), 1), {CHUNK}), i -> slice(own, i, {CHUNK}))"
+    start = f"named_struct('state', {zero}, 'done', cast(array() as array<array<{kind}>>))"
+    return let(items, "own", f"aggregate({chunks}, {start}, {chunk}, r -> named_struct('state', r.state, 'out', flatten(r.done)))")
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A name that no column of ``df`` has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    return next(x for x in (wanted + "_" * i for i in range(len(taken) + 1)) if x.lower() not in taken)

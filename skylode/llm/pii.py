@@ -1,27 +1,29 @@
 """Personal data: fixed patterns, and weaker candidates that boosted trees select.
 
 Everything over documents is DataFrame expressions inside one projection:
-no shuffle, no Python. Only the trees are fitted on the driver, from a
-bounded synthetic sample whose features the same expressions compute.
+no shuffle, no Python. Only the trees are fitted on the driver, from
+bounded samples whose features the same expressions compute.
 """
 
 from __future__ import annotations
 
-import json
 import math
 import random
-from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skylode.llm.common import free_name, let, scanned
+
 #: The base patterns. Possessive forms match the same texts as greedy ones
 #: here, as what follows a run is never part of it; and a run is entered at its start (or where the last match ended) alone.
+#: Runs of digits that are too short for a card fail in any case, so the pattern asks for 16.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"[0-9](?:[\x20-]?[0-9]){15,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: High-recall generators of weaker candidates. They may overlap each other and the base.
@@ -40,10 +42,23 @@ CUES = {
 #: Ends of host names, and words that speak against a candidate.
 ENDINGS = "com|org|net|edu|gov|info|io|co|de|fr|es|uk"
 AGAINST = "order|invoice|version|isbn|page|serial|build|model|ref|sku|batch|part"
-#: Synthetic candidates that the trees are fitted and calibrated on, and the precision that thresholds are set for.
-SAMPLE, PRECISION, TREES, DEPTH, RATE = 3000, 0.97, 24, 3, 0.3
+#: Synthetic candidates that the trees are fitted and calibrated on, as many of each label from the corpus at most, and documents that these come from.
+SAMPLE, DOCUMENTS = 3000, 4000
+#: The precision that thresholds are set for, and the shape of the trees.
+PRECISION, TREES, DEPTH, RATE = 0.97, 24, 3, 0.3
+#: Candidates that each side of a split has at least.
+LEAST = 10
 FEATURES = ("kind", "digits", "length", "runs", "luhn", "cue", "against", "joined_before", "joined_after", "distinct", "marks", "at", "ending", "sentence")
 _BEFORE, _AFTER = 28, 6
+HIT = "struct<s:bigint,e:bigint,m:string,b:string,a:string>"
+SPAN = "struct<s:bigint,w:int,e:bigint,o:int,m:string,b:string,a:string>"
+
+
+class Model(NamedTuple):
+    """Boosted trees (a base score and the trees), and for each generator the least score that selects."""
+
+    trees: tuple[float, list]
+    thresholds: dict[str, float]
 
 
 def _digits(text: Column) -> Column:
@@ -61,23 +76,19 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add) % 10 == 0
 
 
-def found(text: Column, pattern: str) -> Column:
-    """Array of (s, e, m): start and end in code points and text of each leftmost non-overlapping match.
+def found(text: str, pattern: str) -> Column:
+    """Array of (s, e, m, b, a): start and end in code points and text of each leftmost non-overlapping match, and what stands before and after it, up to the next match.
 
-    The pieces between matches and the matches themselves have the lengths that add up to offsets.
+    The pieces between matches and the matches themselves have the lengths that add up to offsets, and hold the surroundings: nothing is
+    counted from the text's start again, so the cost is that of reading the text.
     """
-    regex = F.lit(pattern)
-    matches = F.regexp_extract_all(text, regex, F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(F.length(g).cast("long").alias("g"), m.alias("m")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<s:bigint,e:bigint,m:string>>)").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["g"]
-        e = s + F.length(x["m"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
-
-    return F.when(F.size(matches) > 0, F.aggregate(steps, start, step, lambda a: a["out"])).otherwise(start["out"])
+    begins, none = "(s_.state + length(x.g))", f"cast(array() as array<{HIT}>)"
+    ends = f"({begins} + length(x.m))"
+    two = f"named_struct('m', regexp_extract_all({text}, r'{pattern}', 0), 'g', split({text}, r'{pattern}', -1))"
+    steps = f"""zip_with(zip_with(slice(two.g, 1, size(two.m)), two.m, (g, m) -> named_struct('g', g, 'm', m)), slice(two.g, 2, size(two.m)),
+        (y, n) -> named_struct('g', y.g, 'm', y.m, 'a', substring(n, 1, {_AFTER})))"""
+    hit = f"named_struct('s', {begins}, 'e', {ends}, 'm', x.m, 'b', substring(x.g, -{_BEFORE}, {_BEFORE}), 'a', x.a)"
+    return F.expr(let(two, "two", f"if(size(two.m) > 0, {scanned(steps, '0L', ends, hit, HIT)}.out, {none})"))
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -92,25 +103,29 @@ def _valid(kind: str, m: Column) -> Column:
     return count.between(8, 15)
 
 
-def _features(kind: str, number: int, m: Column, before: Column, after: Column) -> dict[str, Column]:
+def _features(number: Column, m: Column, before: Column, after: Column) -> Column:
+    """The features of a candidate as an array of whole numbers, in the order of FEATURES; ``number`` is its generator's place."""
     digits = _digits(m)
-    flag = lambda c: c.cast("int")
-    return {
-        "kind": F.lit(number),
+    cue = F.lit(False)
+    for i, kind in enumerate(GENERATORS):
+        cue = F.when(number == i, F.lower(before).rlike(CUES[kind])).otherwise(cue)
+    values = {
+        "kind": number,
         "digits": F.length(digits),
         "length": F.length(m),
         "runs": F.size(F.split(F.regexp_replace(m, "[^0-9]+", " "), " ")),
-        "luhn": F.when(F.length(digits) >= 12, flag(_luhn(digits))).otherwise(0),
-        "cue": flag(F.lower(before).rlike(CUES[kind])),
-        "against": flag(F.lower(before).rlike(AGAINST)),
-        "joined_before": flag(before.rlike(r"[\p{L}0-9_./-]$")),
-        "joined_after": flag(after.rlike(r"^[\p{L}0-9_%/$€-]")),
+        "luhn": (F.length(digits) >= 12) & _luhn(digits),
+        "cue": cue,
+        "against": F.lower(before).rlike(AGAINST),
+        "joined_before": before.rlike(r"[\p{L}0-9_./-]$"),
+        "joined_after": after.rlike(r"^[\p{L}0-9_%/$€-]"),
         "distinct": F.size(F.array_distinct(F.split(digits, ""))),
         "marks": F.size(F.array_distinct(F.split(F.regexp_replace(m, "[0-9A-Za-z]", ""), ""))),
-        "at": flag(F.lower(m).rlike(r"@|\[at\]|\(at\)")),
-        "ending": flag(F.lower(m).rlike(rf"(?:[. ]|dot[\])]) ?(?:{ENDINGS})$")),
-        "sentence": flag(m.rlike(r"[.] |[.]\p{Lu}")),
+        "at": F.lower(m).rlike(r"@|\[at\]|\(at\)"),
+        "ending": F.lower(m).rlike(rf"(?:[. ]|dot[\])]) ?(?:{ENDINGS})$"),
+        "sentence": m.rlike(r"[.] |[.]\p{Lu}"),
     }
+    return F.array(*[F.coalesce(values[f].cast("int"), F.lit(0)) for f in FEATURES])
 
 
 # --- the trees -------------------------------------------------------------
@@ -155,25 +170,30 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH,
     score = np.full(len(y), math.log(rate0 / (1 - rate0)))
     base, out = float(score[0]), []
 
+    # Each feature's values by place in their order, so that a node's sums over them are one count and one running sum.
+    levels = [np.unique(x[:, f], return_inverse=True) for f in range(x.shape[1])]
+
+    def split(rows: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[float, int, float]:
+        """The best gain, feature and threshold of a node."""
+        best = (1e-6, -1, 0.0)
+        whole_g, whole_h = g[rows].sum(), h[rows].sum()
+        for f, (values, place) in enumerate(levels):
+            own = place[rows]
+            low_n, low_g, low_h = (np.cumsum(np.bincount(own, w, len(values)))[:-1] for w in (None, g[rows], h[rows]))
+            gain = low_g**2 / (low_h + 1.0) + (whole_g - low_g) ** 2 / (whole_h - low_h + 1.0) - whole_g**2 / (whole_h + 1.0)
+            gain[np.minimum(low_n, len(rows) - low_n) < LEAST] = 0
+            if len(gain) and gain.max() > best[0]:
+                best = (float(gain.max()), f, float(values[gain.argmax() + 1]))
+        return best
+
     def grow(rows: np.ndarray, g: np.ndarray, h: np.ndarray, left: int):
-        value = float(rate * g[rows].sum() / (h[rows].sum() + 1.0))
-        best = (1e-6, None)
-        if left:
-            whole = g[rows].sum() ** 2 / (h[rows].sum() + 1.0)
-            for f in range(x.shape[1]):
-                for cut in np.unique(x[rows, f])[1:]:
-                    low = rows[x[rows, f] < cut]
-                    high = rows[x[rows, f] >= cut]
-                    if min(len(low), len(high)) < 10:
-                        continue
-                    gain = g[low].sum() ** 2 / (h[low].sum() + 1.0) + g[high].sum() ** 2 / (h[high].sum() + 1.0) - whole
-                    if gain > best[0]:
-                        best = (gain, (f, float(cut), low, high))
-        if best[1] is None:
+        gain, f, cut = split(rows, g, h) if left else (0.0, -1, 0.0)
+        if f < 0:
+            value = float(rate * g[rows].sum() / (h[rows].sum() + 1.0))
             score[rows] += value
             return value
-        f, cut, low, high = best[1]
-        return (f, cut, grow(low, g, h, left - 1), grow(high, g, h, left - 1))
+        low = x[rows, f] < cut
+        return (f, cut, grow(rows[low], g, h, left - 1), grow(rows[~low], g, h, left - 1))
 
     for _ in range(trees):
         p = 1 / (1 + np.exp(-score))
@@ -190,17 +210,31 @@ def predict(model: tuple[float, list], x: np.ndarray) -> np.ndarray:
     return np.array([model[0] + sum(walk(t, row) for t in model[1]) for row in x])
 
 
-def _score(model: tuple[float, list], features: dict[str, Column]) -> Column:
-    """The trees as one expression."""
-    own = [features[f] for f in FEATURES]
+def _complete(tree, depth: int, default: float = 0.0) -> tuple[list[int], list[float], list[float]]:
+    """A tree as one of full depth, level by level: features, thresholds (infinite where nothing is asked) and leaves."""
+    level, places, cuts = [tree], [], []
+    for _ in range(depth):
+        places += [t[0] if isinstance(t, tuple) else 0 for t in level]
+        cuts += [t[1] if isinstance(t, tuple) else math.inf for t in level]
+        level = [side for t in level for side in ((t[2], t[3]) if isinstance(t, tuple) else (t, t))]
+    return places, cuts, level
 
-    def walk(tree) -> Column:
-        return F.when(own[tree[0]] >= tree[1], walk(tree[3])).otherwise(walk(tree[2])) if isinstance(tree, tuple) else F.lit(tree)
 
-    total = F.lit(model[0])
-    for tree in model[1]:
-        total = total + walk(tree)
-    return total
+def _score(model: tuple[float, list], features: Column, depth: int = DEPTH) -> Column:
+    """A fold over the trees, which are one constant array; each asks the features by place."""
+    number = lambda x: "double('inf')" if x == math.inf else f"{x!r}D"
+    listed = lambda values, show: f"array({','.join(map(show, values))})"
+    trees = [_complete(t, depth) for t in model[1]]
+    constant = F.expr(listed(trees, lambda t: f"named_struct('f',{listed(t[0], str)},'c',{listed(t[1], number)},'v',{listed(t[2], number)})"))
+
+    def walk(total: Column, tree: Column) -> Column:
+        at = F.lit(0)
+        for level in range(depth):
+            node = F.lit((1 << level) - 1) + at
+            at = at * 2 + (F.get(features, F.get(tree["f"], node)) >= F.get(tree["c"], node)).cast("int")
+        return total + F.get(tree["v"], at)
+
+    return F.aggregate(constant, F.lit(float(model[0])), walk)
 
 
 def calibrated(scores: np.ndarray, labels: np.ndarray, precision: float = PRECISION) -> float:
@@ -212,89 +246,145 @@ def calibrated(scores: np.ndarray, labels: np.ndarray, precision: float = PRECIS
     return float(scores[order][good[-1]]) if len(good) else math.inf
 
 
-@cache
-def fitted(sample: int = SAMPLE, seed: int = 11) -> tuple[tuple[float, list], dict[str, float]]:
-    """Trees from one half of the synthetic sample, and a threshold for each kind from the other."""
-    spark = SparkSession.active()
-    rows = synthetic(sample, seed)
+#: Rows of candidates, for the fit and for what is found.
+_KIND = "kind string, m string, b string, a string, y int"
+
+
+def _disguised(kind: Column, m: Column, by: Column) -> Column:
+    """Rows (kind, m) that base matches become when they are written in a weaker form; ``by`` chooses which."""
+    pick = lambda *forms: F.element_at(F.array(*map(F.lit, forms)), (F.pmod(by, F.lit(len(forms))) + 1).cast("int"))
+    mail = F.regexp_replace(F.replace(m, F.lit("@"), pick(" at ", "[at]", " [at] ", "(at)")), F.lit(r"\.(?=[^.]*$)"), pick(" dot ", "[dot]", "."))
+    cards = F.regexp_replace(F.regexp_replace(_digits(m), "([0-9]{4})(?=[0-9])", "$1_"), "_", pick(" ", "-", "."))
+    phone = F.regexp_replace(m, r"^\+[0-9]{1,3}[ .-]?", "")
+    return F.when(kind == "email", F.struct(F.lit("email_like").alias("kind"), mail.alias("m"))).when(kind == "card", F.struct(F.lit("card_like").alias("kind"), cards.alias("m"))).when(kind == "phone", F.struct(F.lit("phone_like").alias("kind"), phone.alias("m")))
+
+
+def corpus_candidates(docs: DataFrame, documents: int = DOCUMENTS, most: int = SAMPLE) -> DataFrame:
+    """Rows (kind, m, b, a, y) of candidates with weak labels from ``documents`` documents, chosen by a hash of doc_id, and ``most`` candidates of each label by hash.
+
+    Personal data is what the base patterns find, written in a weaker form where it stands (1); what the generators propose outside base spans counts as not personal (0).
+    """
+    chosen = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(documents)
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), "id", "left_semi")  # so many ids at most
+    held = rows.select(*_hits("coalesce(text, '')"))
+    base = held.select(F.explode("base").alias("x")).select("x.*")
+    turned = _disguised(F.col("kind"), F.col("m"), F.xxhash64("m"))
+    whole = F.lit(False)
+    for kind, pattern in GENERATORS.items():
+        whole = whole | ((F.col("t.kind") == kind) & F.regexp_like("t.m", F.lit(f"^(?:{pattern})$")))
+    personal = base.withColumn("t", turned).where(whole).select("t.kind", "t.m", "b", "a", F.lit(1).alias("y"))
+    free = held.select(F.explode(_free("base", "weak")).alias("x"))
+    others = free.select(F.element_at(F.array(*map(F.lit, GENERATORS)), F.col("x.o") + 1).alias("kind"), "x.m", "x.b", "x.a", F.lit(0).alias("y"))
+    some = lambda df: df.orderBy(F.xxhash64("kind", "m", "b", "a"), "kind", "m", "b", "a").limit(most)
+    return some(personal).unionByName(some(others))
+
+
+def fitted(spark: SparkSession, candidates: list[tuple], seed: int = 11) -> Model:
+    """Trees from one half of the candidates (kind, m, b, a, y), and a threshold for each kind from the other. Their features are computed by the expressions that scan texts."""
     kinds = list(GENERATORS)
-    text = json.dumps([{"kind": k, "m": m, "b": b, "a": a, "y": y, "n": i} for i, (k, m, b, a, y) in enumerate(rows)])
-    df = spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(text), "array<struct<kind:string,m:string,b:string,a:string,y:int,n:int>>")))
-    whole = None
-    for i, kind in enumerate(kinds):
-        own = F.struct(*[c.cast("int").alias(n) for n, c in _features(kind, i, F.col("m"), F.col("b"), F.col("a")).items()])
-        whole = F.when(F.col("kind") == kind, own) if whole is None else whole.when(F.col("kind") == kind, own)
-    got = sorted(df.select("n", "y", "kind", whole.alias("f")).collect())  # as many rows as the sample has
-    x, y = np.array([[r.f[f] for f in FEATURES] for r in got]), np.array([r.y for r in got], float)
-    model = boost(x[::2], y[::2])
-    scores, held = predict(model, x[1::2]), np.array([r.kind for r in got])[1::2]
-    return model, {k: calibrated(scores[held == k], y[1::2][held == k]) for k in kinds}
+    rows = sorted(candidates)
+    random.Random(seed).shuffle(rows)
+    numbered = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"n int, {_KIND}")
+    number = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind")).cast("int") - 1
+    got = numbered.select("n", "y", "kind", _features(number, F.col("m"), F.col("b"), F.col("a")).alias("f")).orderBy("n").collect()  # as many rows as there are candidates
+    x, y = np.array([r.f for r in got]).reshape(-1, len(FEATURES)), np.array([r.y for r in got], float)
+    trees = boost(x[::2], y[::2])
+    scores, held = predict(trees, x[1::2]), np.array([r.kind for r in got])[1::2]
+    return Model(trees, {k: calibrated(scores[held == k], y[1::2][held == k]) for k in kinds})
+
+
+def train(docs: DataFrame | None = None, spark: SparkSession | None = None) -> Model:
+    """Trees and thresholds from synthetic candidates (SAMPLE) and, given ``docs``, those of a bounded sample of its documents (:func:`corpus_candidates`)."""
+    spark = docs.sparkSession if docs is not None else spark or SparkSession.active()
+    own = [] if docs is None else [tuple(r) for r in corpus_candidates(docs).collect()]  # 2 * SAMPLE rows at most
+    return fitted(spark, [*synthetic(), *own])
 
 
 # --- the operator ----------------------------------------------------------
 
 
-def _base(kind: str, hits: Column) -> Column:
-    fine = F.filter(hits, lambda x: _valid(kind, x["m"]))
-    return F.transform(fine, lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+def _hits(text: str) -> tuple[Column, Column]:
+    """Columns base, array of (kind, s, e, m, b, a), by kind and start, and weak, an array of (s, w, e, o, m, b, a) with the generator's place o, of a text in SQL.
+
+    Cheap tests, which every match passes, spare most texts the patterns.
+    """
+    t = F.expr(text)
+    needs = {"email": t.contains("@"), "ip": t.rlike(r"[0-9]\.[0-9]"), "card": t.rlike(r"[0-9](?:[ -]?[0-9]){15}"), "phone": t.contains("+")}
+    mail = r"(?i)@|\[at\]|\(at\)| at  ?[a-z0-9-]{1,63} ?(?:[\[(]dot|\.| dot )"
+    near = {"email_like": t.rlike(mail), "phone_like": t.rlike(r"[0-9)][ ./-]{1,2}[0-9]"), "card_like": t.rlike(r"[0-9]{4}[ ./-]{1,2}[0-9]{2}"), "id_like": t.rlike(r"[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}")}
+    none = F.expr(f"cast(array() as array<{HIT}>)")
+
+    def fixed(kind: str) -> Column:
+        hits = F.filter(F.when(needs[kind], found(text, PATTERNS[kind])).otherwise(none), lambda x: _valid(kind, x["m"]))
+        return F.transform(hits, lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), x["b"].alias("b"), x["a"].alias("a")))
+
+    def proposed(number: int, kind: str) -> Column:
+        hits = F.when(near[kind], found(text, GENERATORS[kind])).otherwise(none)
+        return F.transform(hits, lambda x: F.struct(x["s"].alias("s"), F.lit(1).alias("w"), x["e"].alias("e"), F.lit(number).alias("o"), x["m"].alias("m"), x["b"].alias("b"), x["a"].alias("a")))
 
+    base, weak = [fixed(kind) for kind in PATTERNS], [proposed(i, kind) for i, kind in enumerate(GENERATORS)]
+    return F.concat(*base).alias("base"), F.concat(*weak).alias("weak")
 
-def _selected(kind: str, number: int, hits: Column, text: Column, model: tuple[float, list], threshold: float) -> Column:
-    def scored(x: Column) -> Column:
-        since = F.greatest(x["s"] - _BEFORE, F.lit(0))
-        before = F.call_function("substring", text, (since + 1).cast("int"), (x["s"] - since).cast("int"))
-        after = F.call_function("substring", text, (x["e"] + 1).cast("int"), F.lit(_AFTER))
-        return F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), _score(model, _features(kind, number, x["m"], before, after)).alias("score"))
 
-    return F.filter(F.transform(hits, scored), lambda x: x["score"] >= F.lit(threshold))
+def _free(base: str, weak: str) -> Column:
+    """The candidates that overlap no base span, by start: two passes over all spans in order, one for those that begin before a candidate's end and one for those after."""
+    fixed = f"transform({base}, y -> named_struct('s', y.s, 'w', 0, 'e', y.e, 'o', -1, 'm', '', 'b', '', 'a', ''))"
+    before = scanned(f"sort_array(concat({fixed}, {weak}))", "-1L", "if(x.w = 0, greatest(s_.state, x.e), s_.state)", "if(x.w = 0 or s_.state <= x.s, x, null)", SPAN)
+    after = scanned(f"reverse(filter({before}.out, y -> y is not null))", "1L << 60", "if(x.w = 0, x.s, s_.state)", "if(x.w = 1 and x.e <= s_.state, x, null)", SPAN)
+    return F.expr(f"if(size({weak}) > 0, reverse(filter({after}.out, y -> y is not null)), {weak})")
 
 
-def with_spans(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
-    """``docs`` with an array of (kind, s, e, base) in column ``into``: base spans by kind and start, then selected candidates.
+def scored(free: Column, model: Model) -> Column:
+    """Array of (o, s, e, score), by start: the candidates whose score reaches their kind's threshold. Features are made once, then asked by the trees."""
+    told = F.transform(free, lambda x: F.struct(x["o"].alias("o"), x["s"].alias("s"), x["e"].alias("e"), _features(x["o"], x["m"], x["b"], x["a"]).alias("f")))
+    rated = F.transform(told, lambda x: F.struct(x["o"].alias("o"), x["s"].alias("s"), x["e"].alias("e"), _score(model.trees, x["f"]).alias("score")))
+    limits = F.array(*[F.lit(float(model.thresholds[k])) for k in GENERATORS])
+    return F.filter(rated, lambda x: x["score"] >= F.get(limits, x["o"]))
 
-    A candidate that overlaps a base span is dropped, and of two that overlap the one with the
-    higher score stays (the earlier kind, then the earlier start, at a tie).
+
+def _best(spans: str) -> Column:
+    """Of (o, s, e, score), by start, those that stay: the best first, each that overlaps none that stays already (the earlier kind, then the earlier start, at a tie).
+
+    Runs of spans that overlap each other are chosen from one by one, so the cost is quadratic in a run, not in the text.
     """
-    model, thresholds = fitted()
-    kinds = list(GENERATORS)
-    t = F.coalesce(F.col(text), F.lit(""))
-    none = F.expr("cast(array() as array<struct<s:bigint,e:bigint,m:string>>)")
-    needs = {"email": t.contains("@"), "ip": t.rlike(r"[0-9]\.[0-9]"), "card": t.rlike(r"[0-9][ -]?[0-9][ -]?[0-9]"), "phone": t.contains("+")}
-    near = {"email_like": F.lower(t).rlike(r"\[at\]|\(at\)|@| at "), "phone_like": t.rlike(r"[0-9][ )./-]+[0-9]"), "card_like": t.rlike(r"[0-9]{4}[ ./-]{1,2}[0-9]"), "id_like": t.rlike(r"[0-9][ -][0-9]{2}[ -][0-9]")}
-    base = []
-    for kind, pattern in PATTERNS.items():
-        hits = F.when(needs[kind], found(t, pattern)).otherwise(none)
-        base.append(_base(kind, hits))
-    own = docs.withColumn("__base", F.concat(*base))
-    weak = []
-    for i, (kind, pattern) in enumerate(GENERATORS.items()):
-        hits = F.when(near[kind], found(t, pattern)).otherwise(none)
-        free = F.filter(hits, lambda x: ~F.exists("__base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-        weak.append(_selected(kind, i, free, t, model, thresholds[kind]))
-    own = own.withColumn("__weak", F.concat(*weak))
-    order = lambda x: F.array_position(F.array(*map(F.lit, kinds)), x["kind"])
-    # The best first; each stays that overlaps none that stays already.
-    ranked = F.sort_array(F.transform("__weak", lambda x: F.struct((-x["score"]).alias("r"), order(x).alias("o"), x["s"].alias("s"), x["e"].alias("e"))))
-    overlaps = lambda kept, x: F.exists(kept, lambda k: (k["s"] < x["e"]) & (x["s"] < k["e"]))
-    kept = F.aggregate(ranked, F.filter(ranked, lambda x: F.lit(False)), lambda done, x: F.when(overlaps(done, x), done).otherwise(F.concat(done, F.array(x))))
-    own = own.withColumn("__kept", kept)
-    best = F.filter("__weak", lambda x: F.exists("__kept", lambda k: (k["o"] == order(x)) & (k["s"] == x["s"]) & (k["e"] == x["e"])))
-    whole = F.concat(F.transform("__base", lambda x: F.struct(x["kind"], x["s"], x["e"], F.lit(True).alias("base"))), F.transform(best, lambda x: F.struct(x["kind"], x["s"], x["e"], F.lit(False).alias("base"))))
-    return own.withColumn(into, whole).drop("__base", "__weak", "__kept")
+    kind = "struct<o:int,s:bigint,e:bigint,score:double>"
+    step = "named_struct('until', greatest(s_.state.until, x.e), 'run', if(x.s < s_.state.until, concat(s_.state.run, array(x)), array(x)))"
+    runs = scanned(spans, f"named_struct('until', -1L, 'run', cast(array() as array<{kind}>))", step, "if(x.s >= s_.state.until, s_.state.run, null)", f"array<{kind}>")
+    every = f"filter({let(runs, 'all', 'concat(all.out, array(all.state.run))')}, y -> y is not null)"
+    ranked = "sort_array(transform(run, y -> named_struct('r', -y.score, 'o', y.o, 's', y.s, 'e', y.e)))"
+    kept = f"aggregate({ranked}, cast(array() as array<struct<r:double,o:int,s:bigint,e:bigint>>), (done, y) -> if(exists(done, k -> k.s < y.e and y.s < k.e), done, concat(done, array(y))))"
+    chosen = f"transform({kept}, y -> named_struct('o', y.o, 's', y.s, 'e', y.e, 'score', -y.r))"
+    return F.expr(f"if(size({spans}) > 1, flatten(transform({every}, run -> if(size(run) > 1, {chosen}, run))), {spans})")
+
+
+def with_spans(docs: DataFrame, model: Model, text: str = "text", into: str = "pii") -> DataFrame:
+    """``docs`` with an array of (kind, s, e, base) in column ``into``: base spans by kind and start, then selected candidates, by kind and start too.
+
+    A candidate that overlaps a base span is dropped; of overlapping candidates that reach their thresholds see :func:`_best`. Other columns stay as they are,
+    whatever their names; a column named ``into`` is replaced.
+    """
+    row, kinds = free_name(docs, "row"), F.array(*map(F.lit, GENERATORS))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), *_hits(f"coalesce(`{text}`, '')"))
+    held = held.select(row, "base", scored(_free("base", "weak"), model).alias("fine"))
+    held = held.select(row, "base", F.sort_array(F.transform(_best("fine"), lambda x: F.struct(x["o"], x["s"], x["e"]))).alias("kept"))
+    span = lambda kind, x, base: F.struct(kind.alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.lit(base).alias("base"))
+    whole = F.concat(F.transform("base", lambda x: span(x["kind"], x, True)), F.transform("kept", lambda x: span(F.element_at(kinds, x["o"] + 1), x, False)))
+    return held.select(*[F.col(f"{row}.`{c}`") for c in docs.columns if c != into], whole.alias(into))
 
 
 def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def scan_pii(docs: DataFrame) -> DataFrame:
+def scan_pii(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Rows (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_selected), one for each row of ``docs``.
 
     Offsets count code points, ends exclusive. Null texts count as empty ones, which
-    have no spans. Repeated rows are scanned each, a null doc_id is kept, an empty
-    table gives no rows, other columns are not read.
+    have no spans. Very long texts cost in proportion to their length and matches. Repeated rows are scanned each, a null doc_id is kept, an empty
+    table gives no rows, other columns are not read. Without a ``model`` (:func:`train`) one is fitted on synthetic candidates alone.
     """
-    rows = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    model = model or train(spark=docs.sparkSession)
+    rows = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
     count = lambda kind: F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("pii", lambda x: x["base"])
     return rows.select("doc_id", *map(count, PATTERNS), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("pii")).alias("spans"), F.size(F.filter("pii", lambda x: ~x["base"])).cast("long").alias("n_selected"))

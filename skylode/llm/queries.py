@@ -20,7 +20,8 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.scan_pii(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return pii.scan_pii(docs, pii.train(docs))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,8 +29,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select(F.expr("conv_id div 2").alias("pair_id"), F.expr("conv_id % 2").alias("side"), "turn", "role", "text")
-    return chat.preference_pairs(turns.where("side = 0").drop("side"), turns.where("side = 1").drop("side"))
+    return chat.preference_pairs(*chat.with_other_answers(table(spark, sf_dir, "conversations")))
 
 
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

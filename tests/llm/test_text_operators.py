@@ -132,15 +132,55 @@ def test_pii_candidates_and_trees(spark):
 def test_a_span_dropped_for_another_drops_none_itself(spark, monkeypatch):
     chain = [(0, 10, 0.5), (8, 20, 0.7), (18, 30, 0.9), (40, 50, 0.5), (45, 55, 0.5)]
 
-    def proposed(kind, *_):
-        own = [F.struct(F.lit(kind).alias("kind"), F.lit(s).cast("long").alias("s"), F.lit(e).cast("long").alias("e"), F.lit(p).alias("score")) for s, e, p in chain]
-        return F.array(*own) if kind == "id_like" else F.slice(F.array(*[x for x in own]), 1, 0)
-
-    monkeypatch.setattr(pii, "_selected", proposed)
+    own = [F.struct(F.lit(3).alias("o"), F.lit(s).cast("long").alias("s"), F.lit(e).cast("long").alias("e"), F.lit(p).alias("score")) for s, e, p in chain]
+    monkeypatch.setattr(pii, "scored", lambda *_: F.array(*own))
     row = pii.scan_pii(spark.createDataFrame([(1, "x")], "doc_id long, text string")).first()
     assert (row.spans, row.n_selected) == ("id_like:0:10,id_like:18:30,id_like:40:50", 3)
 
 
+def test_many_matches_in_one_text_are_found_in_order(spark):
+    import time
+
+    one = "write to a.b{0}@mail.example.com or +1 (609) 555-{0:04d} from 10.0.{1}.7, see x{0} at y dot com; "
+    text = "".join(one.format(i, i % 256) for i in range(7000))
+    d = spark.createDataFrame([(1, text, "x", 3)], "doc_id long, text string, row string, pii int")
+    began = time.monotonic()
+    row = pii.scan_pii(d).first()
+    assert time.monotonic() - began < 60  # some seconds alone; a fold that copies a growing list takes minutes
+    want = plain_pii(text)
+    assert row.base_sha256 == hashlib.sha256(want.encode()).hexdigest() and row.spans.startswith(want)
+    assert (row.n_email, row.n_ip, row.n_phone) == (7000, 7000, 7000)
+    kept = pii.with_spans(d, pii.train(spark=spark))
+    assert kept.columns == ["doc_id", "text", "row", "pii"] and kept.first().row == "x"
+
+
+def test_trees_in_sql_equal_trees_in_python(spark):
+    model = pii.train(spark=spark)
+    r = random.Random(4)
+    x = [[r.randint(0, 24) for _ in pii.FEATURES] for _ in range(300)]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, f array<int>").select("i", pii._score(model.trees, F.col("f")).alias("s")).orderBy("i").collect()
+    assert np.allclose([g.s for g in got], pii.predict(model.trees, np.array(x)))
+
+
+def test_candidates_that_meet_base_spans_are_dropped(spark):
+    r = random.Random(6)
+    spans = lambda n: sorted([(s, s + r.randint(1, 9)) for s in r.sample(range(200), n)])
+    cases = [(i, spans(r.randint(0, 6)), spans(r.randint(0, 9))) for i in range(60)]
+    array = lambda own, w: [(s, w, e, w - 1, "", "", "") for s, e in own]
+    d = spark.createDataFrame([(i, [(k, *b, "", "", "") for k, b in enumerate(base)], array(weak, 1)) for i, base, weak in cases], f"i int, base array<struct<kind:int,s:bigint,e:bigint,m:string,b:string,a:string>>, weak array<{pii.SPAN}>")
+    got = {x.i: [(y.s, y.e) for y in x.free] for x in d.select("i", pii._free("base", "weak").alias("free")).collect()}
+    assert got == {i: [w for w in weak if not any(b[0] < w[1] and w[0] < b[1] for b in base)] for i, base, weak in cases}
+
+
+def test_corpus_candidates_are_labelled_by_the_base(spark):
+    rows = [(i, f"word{i} from bob{i}@mail.example.com or at noon. Then call +1 (609) 555-{i:04d} now") for i in range(50)] + [(None, "a@b.cd"), (99, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pii.corpus_candidates(d).collect()
+    assert {x.kind for x in got if x.y} == {"email_like", "phone_like"} and {x.kind for x in got if not x.y} == {"email_like"}
+    assert pii.corpus_candidates(d, most=7).count() == 14 and pii.corpus_candidates(d.limit(0)).count() == 0
+    assert pii.scan_pii(d, pii.train(d)).count() == 52
+
+
 # --- exact duplicates ------------------------------------------------------
 
 
@@ -180,15 +220,17 @@ def test_preference_pairs(spark):
 
 def test_preference_pairs_equal_sql(spark, tmp_path):
     r = random.Random(8)
-    rows = [(c, t, r.choice(["user", "assistant", "system"]), r.choice(["a", "b", "é"])) for c in range(60) for t in range(r.randint(0, 5))]
-    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "c"))
-    d = spark.read.parquet(str(tmp_path / "c")).select(F.expr("conv_id div 2").alias("pair_id"), F.expr("conv_id % 2").alias("side"), "turn", "role", "text")
-    out = chat.preference_pairs(d.where("side = 0"), d.where("side = 1"))
+    rows = [(c, t if r.random() < 0.97 else None, r.choice(["user", "assistant", "system", None]), r.choice(["a", "b", "é", None, ""])) for c in range(-20, 60) for t in range(r.randint(0, 9))]
+    rows += [(7, 3, "assistant", "z")] * 3 + [(None, 1, "assistant", "lost")] + [(90, t, "user" if t % 2 else "assistant", f"turn {t}") for t in range(1200)] + [(91, 0, "assistant", "other")]
+    spark.createDataFrame([(*x, "pair_id") for x in rows], "conv_id long, turn long, role string, text string, until string").coalesce(1).write.parquet(str(tmp_path / "c"))
+    out = chat.preference_pairs(*chat.with_other_answers(spark.read.parquet(str(tmp_path / "c")))).collect()
     c = duckdb.connect()
     c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c/*.parquet'")
     result = c.execute(chat.ORACLE)
     names = [x[0] for x in result.description]
-    assert sorted(map(str, result.fetchall())) == sorted(str(tuple(r[n] for n in names)) for r in out.collect())
+    assert sorted(map(str, result.fetchall())) == sorted(str(tuple(r[n] for n in names)) for r in out)
+    assert {r.n_prompt_turns for r in out} >= {0, 1, 2, 3, 4, 5, 1198} and sum(r.n_prompt_turns > 0 for r in out) > len(out) / 2
+    assert chat.preference_pairs(*chat.with_other_answers(spark.read.parquet(str(tmp_path / "c")).limit(0))).count() == 0
 
 
 # --- BPE -------------------------------------------------------------------
