@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: The competition's overlap thresholds, and squared side lengths that part small, medium and large.
 IOU_VEHICLE, IOU_OTHER = 0.35, 0.50
+THRESHOLDS = {"ship": IOU_OTHER, "aircraft": IOU_OTHER, "vehicle": IOU_VEHICLE}
 SMALL, MEDIUM = 32.0**2, 96.0**2
 EDGE_FRACTION = 0.02
 CROWD_FACTOR = 2.0
