@@ -47,6 +47,25 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
+#: Salts that the rows of one key are dealt to in a join.
+SALTS = 16
+
+
+def salt(by: str, salts: int = SALTS) -> Column:
+    return F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")
+
+
+def salts_of(own: Column) -> Column:
+    """An aggregate: the salts that the rows of a group have, as bits (63 at most)."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), own))
+
+
+def each_salt(bits: str, salts: int = SALTS) -> Column:
+    """A row for each salt that ``bits`` names. Joined by key and salt, the rows of a hot key meet their one partner in as many tasks."""
+    has = lambda s: F.call_function("shiftright", F.col(bits), s).bitwiseAND(F.lit(1)) == 1
+    return F.explode(F.filter(F.sequence(F.lit(0), F.lit(salts - 1)), has))
+
+
 def _hashable(kind: DataType) -> bool:
     parts = [f.dataType for f in kind.fields] if isinstance(kind, StructType) else [kind.elementType] if isinstance(kind, ArrayType) else []
     return not isinstance(kind, MapType) and kind.typeName() != "variant" and all(map(_hashable, parts))

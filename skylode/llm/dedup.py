@@ -7,9 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skylode.llm.common import keep_rows
-
-SALTS = 16
+from skylode.llm.common import SALTS, each_salt, keep_rows, salt, salts_of
 
 
 def normalised(column: str = "text") -> Column:
@@ -30,7 +28,8 @@ def exact_duplicates(docs: DataFrame, salts: int = SALTS, digest=lambda text: F.
     task and salt, and stage three as one for each salt.
 
     Rows find their group again by digest, a second hash and the length (with
-    a weak ``digest`` these are what keeps different texts apart). Null texts
+    a weak ``digest`` these are what keeps different texts apart), and by salt: a group
+    goes once to each salt that its rows have, so the rows of a large one meet it in that many tasks. Null texts
     count as empty ones, and empty texts are equal. Null doc_ids are counted
     in group_size; they stay only where their group has no other id.
     Rows repeated with the same doc_id and text are the same document: each is
@@ -39,19 +38,19 @@ def exact_duplicates(docs: DataFrame, salts: int = SALTS, digest=lambda text: F.
     """
     rows, winners = _winners(docs, salts, digest)
     identity = ["digest", F.xxhash64("content").alias("second"), F.octet_length("content").alias("octets")]
-    groups = winners.select(*identity, F.sha2("content", 256).alias("text_sha256"), "keep_id", "group_size")
+    groups = winners.select(*identity, F.sha2("content", 256).alias("text_sha256"), "keep_id", "group_size", "salted")
     return (
-        rows.select("doc_id", *identity)
-        .join(groups, ["digest", "second", "octets"])
+        rows.select("doc_id", "salt", *identity)
+        .join(groups.select("*", each_salt("salted", salts).alias("salt")), ["digest", "second", "octets", "salt"])
         .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     )
 
 
 def _winners(docs: DataFrame, salts: int, digest) -> tuple[DataFrame, DataFrame]:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("content"))
-    rows = rows.withColumn("digest", digest(F.col("content"))).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+    rows = rows.withColumn("digest", digest(F.col("content"))).withColumn("salt", salt("doc_id", salts))
     merged = rows.groupBy("salt", "digest", "content").agg(F.max("doc_id").alias("top"), F.count("*").alias("n"))
-    return rows, merged.groupBy("digest", "content").agg(F.max("top").alias("keep_id"), F.sum("n").alias("group_size"))
+    return rows, merged.groupBy("digest", "content").agg(F.max("top").alias("keep_id"), F.sum("n").alias("group_size"), salts_of(F.col("salt")).alias("salted"))
 
 
 def keep_one(docs: DataFrame, salts: int = SALTS) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skylode.llm.common import keep_rows, map_arrow, texts
+from skylode.llm.common import each_salt, keep_rows, map_arrow, salt, salts_of, texts
 from skylode.operators.graph import connected_components
 from skylode.runtime import cut
 
@@ -178,13 +178,18 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, crowd: i
     gives no rows. Of the other columns none is read.
     """
     found = cut(fingerprints(docs, words))
-    classes = cut(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    classes = cut(found.groupBy("fp").agg(F.min("doc_id").alias("least"), salts_of(salt("doc_id")).alias("salted")))
     groups = connected_components(near_links(classes.select("fp"), distance, crowd=crowd)).withColumnRenamed("node", "fp")
-    linked = cut(classes.join(groups, "fp"))
-    smallest = linked.groupBy("component").agg(F.min("least").alias("smallest"))
-    known = linked.join(smallest, "component").select("fp", "smallest")
-    labels = cut(classes.join(known, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id")))
-    return found.join(labels, "fp").select("doc_id", "fp", "component_id")
+    known = _with_least(cut(classes.select("fp", "least").join(groups, "fp")), "fp")
+    labels = cut(classes.join(known, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "salted"))
+    return found.withColumn("salt", salt("doc_id")).join(labels.withColumn("salt", each_salt("salted")), ["fp", "salt"]).select("doc_id", "fp", "component_id")
+
+
+def _with_least(members: DataFrame, node: str) -> DataFrame:
+    """Rows (``node``, component, component_id): the smallest ``least`` of each component, joined by salt to its members, so that a large component spreads over many tasks."""
+    smallest = members.groupBy("component").agg(F.min("least").alias("component_id"), salts_of(salt(node)).alias("held"))
+    placed = smallest.select("component", "component_id", each_salt("held").alias("salt"))
+    return members.withColumn("salt", salt(node)).join(placed, ["component", "salt"]).select(node, "component", "component_id")
 
 
 class _Forest:
@@ -321,7 +326,7 @@ def _in_blocks(docs: DataFrame, classes: DataFrame, hot: DataFrame, links: DataF
 def _labelled(docs: DataFrame, words: int, similarity: float, row: Column | None = None) -> DataFrame:
     """Rows (doc_id, row, component, component_id), see :func:`alike_documents`; ``component`` names the component whether it has an id or not."""
     found = cut(sketches(docs, words, row))
-    classes = cut(found.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")))
+    classes = cut(found.groupBy("node").agg(F.min("doc_id").alias("least"), salts_of(salt("doc_id")).alias("salted"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")))
     keyed = classes.select("node", "size", F.posexplode("keys").alias("band", "key"))
     shared = cut(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("key", "node")).alias("leader")).where("n > 1"))
     rows = cut(keyed.join(shared, "key"))
@@ -357,8 +362,8 @@ def _labelled(docs: DataFrame, words: int, similarity: float, row: Column | None
         links = links.unionByName(_in_blocks(docs, classes, hot, links, words, similarity))
     groups = connected_components(links)
     labels = cut(classes.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "least"))
-    smallest = labels.groupBy("component").agg(F.min("least").alias("component_id"))
-    return found.select("doc_id", "row", "node").join(labels.join(smallest, "component").select("node", "component", "component_id"), "node").select("doc_id", "row", "component", "component_id")
+    named = _with_least(labels, "node").join(classes.select("node", each_salt("salted").alias("salt")), "node")
+    return found.select("doc_id", "row", "node", salt("doc_id").alias("salt")).join(named, ["node", "salt"]).select("doc_id", "row", "component", "component_id")
 
 
 def alike_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
