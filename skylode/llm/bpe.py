@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from skylode.llm.common import kept_in_worker, map_arrow, texts, tokenizer_text
 
@@ -105,6 +106,11 @@ class ForcedBoundaryEncoder:
                 names += [x[1] for x in found if x[0]]
         return b"".join(ids), " ".join(names)
 
+    def decode(self, ids: bytes) -> str:
+        """The text of little-endian unsigned 32-bit ids, special tokens among it; ids that the vocabulary lacks give nothing."""
+        names = self.names
+        return " ".join([names[x] for x in memoryview(ids).cast("I") if x in names])
+
 
 def _byte_symbols() -> list[str]:
     """The printable character that stands for each byte: itself where printable, else the next from U+0100."""
@@ -146,3 +152,21 @@ def _mapped(docs: DataFrame, path: str, schema: str, columns) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns(found)], names=names)
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), kernel, schema)
+
+
+def decode_documents(encoded: DataFrame, path: str, column: str = "ids") -> DataFrame:
+    """The columns of ``encoded`` but ``column``, whose ids (binary as from :func:`encode_documents`) become the column ``decoded``, in the place of one of that name.
+
+    Null ids count as none, which decode to an empty text. Bytes that don't make whole ids are an error.
+    """
+    spec, name = tokenizer_text(path)
+    others = [c for c in encoded.columns if c not in (column, "decoded")]
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = kept_in_worker(f"bpe {name}", lambda: ForcedBoundaryEncoder(spec))
+        for batch in batches:
+            found = [encoder.decode(x or b"") for x in batch.column(column).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(found, pa.string())], names=[*others, "decoded"])
+
+    schema = StructType([*(encoded.schema[c] for c in others), StructField("decoded", StringType())])
+    return map_arrow(encoded.select(*(f"`{c}`" for c in (*others, column))), kernel, schema)

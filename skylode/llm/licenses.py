@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skylode.llm.common import map_arrow, texts
+from skylode.llm.license_texts import WHOLE
 
-#: Common notices.
-TEMPLATES = {
+#: Short notices.
+SHORT = {
     "gpl-3": "This work is licensed under the GNU General Public License, version 3.",
     "cc-by-nc-4": "Licensed under CC BY-NC 4.0.",
     "cc-by-4": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -25,6 +26,7 @@ TEMPLATES = {
     "lgpl": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
+TEMPLATES = SHORT | WHOLE
 WORDS = 5
 CONTAINMENT = 0.8
 #: Most often that a window that holds a template may collide with it in no band.
@@ -103,6 +105,11 @@ class Index:
                 table[[v >> 48 for v in by]] = True
                 self.lookup[stride, band] = table, by
 
+    def width(self, template: int) -> int:
+        """Shingles of the windows in which a template is sought."""
+        n = len(self.sets[template])
+        return 1 if n == 1 else 3 << (n - 1).bit_length() - 1
+
     @staticmethod
     def hashed(values: np.ndarray, band: int) -> np.ndarray:
         out = (values ^ np.uint64(0xD6E8FEB86659FD93 * (band + 1) % (1 << 64))) * _MIX
@@ -152,28 +159,40 @@ def find_licenses(index: Index, found: list[str]) -> list[tuple[int, str, float,
             doc += 1
     out = []
     for (doc, template), windows in sorted(spans.items()):
-        own, best, first, count, until = index.sets[template], 0.0, 0, 0, -1
+        own, best, hits = index.sets[template], 0.0, set()
         begin = int(ends[doc - 1]) if doc else 0
         for a, b in sorted(windows):
             inside = np.isin(row[a:b], own)
             share = len(np.unique(row[a:b][inside])) / len(own)
             if share + 1e-9 >= index.containment:
-                place = a + int(np.flatnonzero(inside)[0])
-                if not count:
-                    first = place - begin
-                if place >= until:
-                    count += 1
-                until = max(until, a + int(np.flatnonzero(inside)[-1]) + 1)
+                hits.update((a + np.flatnonzero(inside)).tolist())
                 best = max(best, share)
-        if count:
-            out.append((doc, index.names[template], best, first, count))
+        if hits:
+            places = sorted(hits)
+            out.append((doc, index.names[template], best, places[0] - begin, occurrences(places, row[places].tolist(), index.need[template], index.width(template))))
     return out
 
 
+def occurrences(places: list[int], values: list[int], need: int, width: int) -> int:
+    """How often a template occurs, given where its shingles stand; one at least.
+
+    Read from left to right, an occurrence ends where it has ``need`` different shingles and one of them comes again, or before a gap of over ``width``.
+    """
+    count, seen, last = 0, set(), places[0]
+    for place, value in zip(places, values, strict=True):
+        if (value in seen and len(seen) >= need) or place - last > width:
+            count += len(seen) >= need
+            seen = set()
+        seen.add(value)
+        last = place
+    return max(count + (len(seen) >= need), 1)
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT, words: int = WORDS) -> DataFrame:
     """Rows (doc_id, license, containment, first_word, n_matches): templates of which a window holds ``containment`` of the shingles.
 
-    ``first_word`` counts the words that punctuation doesn't make up alone.
+    A window that holds a template to this degree meets it in no band with a probability of 1e-4 at most, so results may lack so many.
+    ``n_matches`` counts :func:`occurrences`. ``first_word`` counts the words that punctuation doesn't make up alone.
     Null and empty texts match nothing; whole texts are read, however long.
     Repeated rows give repeated results, a null doc_id is kept, other columns are not read.
     """
