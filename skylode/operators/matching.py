@@ -7,6 +7,8 @@ grp); ``box`` is a struct of corners. All sequential work is a fold over one
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,12 +19,12 @@ GROUPS = ("ship", "aircraft", "vehicle")
 LOCALIZATION = 0.10
 
 
-def overlaps(det: DataFrame, gt: DataFrame, same_group: bool = True) -> DataFrame:
-    """Rows (image, grp, pi, score, gi, gt_grp, iou) of boxes that overlap at all. The image (and group) is the key, so nothing is paired across images."""
+def overlaps(det: DataFrame, gt: DataFrame, same_group: bool = True, also: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (image, grp, pi, score, fine, gi, gt_grp, gt_fine, iou, and the detection's columns ``also``) of boxes that overlap at all. The image (and group) is the key, so nothing is paired across images."""
     g = gt.select("image", F.col("grp").alias("gt_grp"), "gi", F.col("box").alias("gt_box"), F.col("fine").alias("gt_fine"))
     on = [det["image"] == g["image"]] + ([det["grp"] == g["gt_grp"]] if same_group else [])
     near = (F.col("box.x1") < F.col("gt_box.x2")) & (F.col("gt_box.x1") < F.col("box.x2")) & (F.col("box.y1") < F.col("gt_box.y2")) & (F.col("gt_box.y1") < F.col("box.y2"))
-    return det.join(g, on).where(near).select(det["image"], "grp", "pi", "score", "fine", "gi", "gt_grp", "gt_fine", iou(F.col("box"), F.col("gt_box")).alias("iou"))
+    return det.join(g, on).where(near).select(det["image"], "grp", "pi", "score", "fine", "gi", "gt_grp", "gt_fine", iou(F.col("box"), F.col("gt_box")).alias("iou"), *also)
 
 
 def greedy_matches(det: DataFrame, gt: DataFrame, class_aware: bool = True, floor: float | None = None, pairs: DataFrame | None = None) -> DataFrame:
@@ -34,21 +36,29 @@ def greedy_matches(det: DataFrame, gt: DataFrame, class_aware: bool = True, floo
     compete, and each (image, group) is folded alone.
     """
     pairs = overlaps(det, gt, class_aware) if pairs is None else pairs
-    key = ["image", "grp"] if class_aware else ["image"]
     limit = F.lit(float(floor)) if floor is not None else iou_threshold("gt_grp")
-    choice = F.struct((-F.col("iou")).alias("far"), F.col("gi").alias("gi"), limit.alias("limit"), F.col("gt_grp").alias("gt_grp"))
-    each = pairs.groupBy(*key, "pi", *([] if class_aware else ["grp"])).agg(F.max("score").alias("score"), F.array_sort(F.collect_list(choice)).alias("cand"))
-    row = F.struct((-F.col("score")).alias("down"), F.col("pi").alias("pi"), F.col("grp").alias("dg"), F.col("cand").alias("cand"))
-    images = each.groupBy(*key).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    none = F.expr("cast(array() as array<struct<pi:bigint,gi:bigint,dg:string,gt_grp:string,score:double,iou:double>>)")
+    pairs = pairs.withColumn("limit", limit)
+    if class_aware or floor is not None:
+        # With one limit for all candidates of a detection, those below it neither match nor stand before one that does.
+        pairs = pairs.where("iou >= limit")
+    return _folded(pairs, ["image", "grp"] if class_aware else ["image"])
+
 
-    def step(taken: Column, x: Column) -> Column:
-        free = F.filter(x["cand"], lambda c: ~F.exists(taken, lambda t: t["gi"] == c["gi"]))
-        good = F.filter(F.slice(free, 1, 1), lambda c: -c["far"] >= c["limit"])
-        return F.concat(taken, F.transform(good, lambda c: F.struct(x["pi"].cast("long").alias("pi"), c["gi"].cast("long").alias("gi"), x["dg"].alias("dg"), c["gt_grp"].alias("gt_grp"), (-x["down"]).cast("double").alias("score"), (-c["far"]).alias("iou"))))
+def _folded(pairs: DataFrame, key: list[str]) -> DataFrame:
+    """Rows (``key``, grp, pi, gi, gt_grp, score, iou) of the greedy matches inside each ``key``; a pair's ``limit`` is the least overlap that counts."""
+    own = [c for c in key if c != "grp"]
+    row = F.struct((-F.col("score")).alias("down"), F.col("pi").cast("long").alias("pi"), (-F.col("iou")).alias("far"), F.col("gi").cast("long").alias("gi"), F.col("grp").alias("dg"), F.col("gt_grp").alias("gt_grp"), (F.col("iou") >= F.col("limit")).alias("good"))
+    lists = pairs.groupBy(*key).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    # ``last`` is the detection that has taken its best free box, or found it too far off: its other pairs count no more.
+    start = F.struct(F.slice("rows", F.lit(1), F.lit(0)).alias("taken"), F.lit(None).cast("long").alias("last"))
 
-    found = images.select("image", F.explode(F.aggregate("rows", none, step)).alias("m"))
-    return found.select("image", F.col("m.dg").alias("grp"), "m.pi", "m.gi", "m.gt_grp", "m.score", "m.iou")
+    def step(done: Column, x: Column) -> Column:
+        free = ~done["last"].eqNullSafe(x["pi"]) & ~F.exists(done["taken"], lambda t: t["gi"] == x["gi"])
+        return F.struct(F.when(free & x["good"], F.concat(done["taken"], F.array(x))).otherwise(done["taken"]).alias("taken"), F.when(free, x["pi"]).otherwise(done["last"]).alias("last"))
+
+    taken = F.aggregate("rows", start, step)["taken"]
+    found = lists.select(*own, F.explode(F.when(F.size("rows") == 1, F.filter("rows", lambda x: x["good"])).otherwise(taken)).alias("m"))
+    return found.select(*own, F.col("m.dg").alias("grp"), "m.pi", "m.gi", "m.gt_grp", (-F.col("m.down")).cast("double").alias("score"), (-F.col("m.far")).alias("iou"))
 
 
 def group_counts(det: DataFrame, gt: DataFrame, matches: DataFrame) -> DataFrame:
@@ -140,14 +150,20 @@ def instance_errors(current: DataFrame, low: DataFrame, loose: DataFrame, gt: Da
     group overlaps by ``floor`` at least, else no_candidate. matched_pi is -1 and matched_iou 0 without a match.
     """
     key = ["image", "gi"]
-    hit = lambda det, name, at=None: greedy_matches(det, gt, floor=at).select(*key, F.lit(True).alias(name))
-    main = greedy_matches(current, gt).select(*key, F.col("pi").alias("matched_pi"), F.col("iou").alias("matched_iou"))
-    best = overlaps(loose, gt, same_group=False)
-    own = F.when(F.col("grp") == F.col("gt_grp"), F.col("iou"))
-    other = F.when(F.col("grp") != F.col("gt_grp"), F.col("iou"))
-    near = best.groupBy(*key).agg(F.max(own).alias("own"), F.bool_or(other >= iou_threshold("gt_grp")).alias("other"))
-    rows = gt.select("image", "gi", "grp").join(main, key, "left").join(hit(low, "low"), key, "left").join(hit(loose, "loose"), key, "left")
-    rows = rows.join(hit(current, "iou50", 0.5), key, "left").join(hit(current, "iou75", 0.75), key, "left").join(near, key, "left")
+    # One join serves the five matchings: each set's pairs are folded once for every limit that it is matched at.
+    sets = {"current": (current, {"main": None, "iou50": 0.5, "iou75": 0.75}), "low": (low, {"low": None}), "loose": (loose, {"loose": None})}
+    tagged = reduce(DataFrame.unionByName, (df.select("image", "pi", "box", "score", "fine", "grp", F.lit(n).alias("of")) for n, (df, _) in sets.items()))
+    pairs = overlaps(tagged, gt, same_group=False, also=("of",)).drop("fine", "gt_fine")
+    level = lambda n, at: F.struct(F.lit(n).alias("level"), (iou_threshold("gt_grp") if at is None else F.lit(at)).alias("limit"))
+    levels = F.coalesce(*[F.when(F.col("of") == n, F.array(*[level(*x) for x in at.items()])) for n, (_, at) in sets.items()])
+    own = pairs.where("grp = gt_grp").select("image", "grp", "pi", "score", "gi", "gt_grp", "iou", F.inline(levels)).where("iou >= limit")
+    met = _folded(own, ["image", "grp", "level"])
+    at = lambda n: F.bool_or(F.col("level") == n)
+    hits = met.groupBy(*key).agg(F.max(F.when(F.col("level") == "main", F.struct("pi", "iou"))).alias("main"), at("low").alias("low"), at("loose").alias("loose"), at("iou50").alias("iou50"), at("iou75").alias("iou75"))
+    same = F.col("grp") == F.col("gt_grp")
+    near = pairs.where("of = 'loose'").groupBy(*key).agg(F.max(F.when(same, F.col("iou"))).alias("own"), F.bool_or(F.when(~same, F.col("iou") >= iou_threshold("gt_grp"))).alias("other"))
+    rows = gt.select("image", "gi", "grp").join(hits, key, "left").join(near, key, "left")
+    rows = rows.withColumns({"matched_pi": F.col("main.pi"), "matched_iou": F.col("main.iou")})
     error = (
         F.when(F.col("matched_pi").isNotNull(), "detected")
         .when(F.col("low"), "low_confidence")
@@ -167,8 +183,8 @@ def false_positives(det: DataFrame, gt: DataFrame, floor: float = LOCALIZATION)
     reaches that box's, localization if one of its group overlaps by ``floor``, else background.
     """
     key = ["image", "pi"]
-    wrong = det.join(greedy_matches(det, gt).select(*key), key, "left_anti")
-    pairs = overlaps(wrong, gt, same_group=False)
+    pairs = overlaps(det, gt, same_group=False)
+    wrong = det.join(greedy_matches(det, gt, pairs=pairs.where("grp = gt_grp")).select(*key), key, "left_anti")
     same = F.col("grp") == F.col("gt_grp")
     good = F.col("iou") >= iou_threshold("gt_grp")
     near = pairs.groupBy(*key).agg(
