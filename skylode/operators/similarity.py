@@ -24,7 +24,8 @@ def hamming_pairs(rows: DataFrame, distance: int, hash_: str = "hash", key: str
     """Rows (left_id, right_id, distance) of pairs within ``distance`` bits, left_id < right_id; with ``apart`` those alone that differ in that column.
 
     Equal hashes are paired by key, different ones through chunk keys, as one row for each hash: copies of
-    a hash don't meet again in every chunk. No pair is lost.
+    a hash don't meet again in every chunk. With ``apart`` the links are of (hash, value) classes that differ in the value, and only
+    these are expanded into rows, so copies inside one split never meet. No pair is lost.
     """
     if not 0 <= distance < 16:
         raise ValueError("chunks get too short beyond a distance of 15")
@@ -35,10 +36,18 @@ def hamming_pairs(rows: DataFrame, distance: int, hash_: str = "hash", key: str
     links = near.select(F.col("a.h").alias("lh"), F.col("b.h").alias("rh")).distinct() if distance else None
     same = own.select(F.col("h").alias("lh"), F.col("h").alias("rh")).distinct()
     links = same if links is None else links.unionByName(same)
-    l_, r_ = own.select(*[F.col(c).alias(f"l{c}") for c in own.columns]), own.select(*[F.col(c).alias(f"r{c}") for c in own.columns])
-    pairs = links.join(l_, "lh").join(r_, "rh").where((F.col("lh") != F.col("rh")) | (F.col("lid") < F.col("rid")))
+    named = lambda df, side: df.select(*[F.col(c).alias(f"{side}{c}") for c in df.columns])
     if apart:
-        pairs = pairs.where(~F.col("ls").eqNullSafe(F.col("rs")))
+        values = own.select("h", "s").distinct()
+        links = links.join(named(values, "l"), "lh").join(named(values, "r"), "rh").where(~F.col("ls").eqNullSafe(F.col("rs")))
+    pairs = links
+    for side in "lr":
+        rows_ = named(own, side)
+        on = pairs[f"{side}h"] == rows_[f"{side}h"]
+        if apart:
+            on &= pairs[f"{side}s"].eqNullSafe(rows_[f"{side}s"])
+        pairs = pairs.join(rows_, on).select(*[pairs[c] for c in pairs.columns], rows_[f"{side}id"])
+    pairs = pairs.where((F.col("lh") != F.col("rh")) | (F.col("lid") < F.col("rid")))
     return pairs.select(F.least("lid", "rid").alias("left_id"), F.greatest("lid", "rid").alias("right_id"), hamming(F.col("lh"), F.col("rh")).cast("long").alias("distance"))
 
 

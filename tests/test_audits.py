@@ -145,6 +145,27 @@ def test_systematic_samples(spark):
     assert splits.evenly_spaced(df, 0, "id").count() == 0 and splits.evenly_spaced(df, 99, "id").count() == 10
 
 
+def test_turns_and_samples_of_a_value_with_most_rows(spark):
+    r = random.Random(5)
+    ids = r.sample(range(1000), 300)
+    rows = [(i, "a" if n < 250 else "b" if n < 290 else None) for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "id long, turn string").repartition(5)
+    lists = {t: sorted(i for i, x in rows if x == t) for t in ("a", "b")}
+    expected = [i for _, _, i in sorted((n, t, i) for t, own in lists.items() for n, i in enumerate(own))]
+    assert [x.id for x in splits.round_robin(df, "turn", "id").orderBy("position").collect()] == expected
+    found = [(x.turn, x.id) for x in splits.evenly_spaced(df, 3, "id", by=["turn"]).collect()]
+    whole = lists | {None: sorted(i for i, x in rows if x is None)}
+    assert sorted(found, key=str) == sorted(((t, own[round(n * (len(own) - 1) / 2)]) for t, own in whole.items() for n in range(3)), key=str)
+    assert splits.round_robin(df.limit(0), "turn", "id").count() == 0
+
+
+def test_copies_of_a_hash_meet_across_splits_alone(spark):
+    rows = [(i, 7, "a") for i in range(20)] + [(100, 7, "b"), (101, 6, None), (102, 6, None), (103, 7, None)]
+    found = similarity.hamming_pairs(spark.createDataFrame(rows, "id long, hash long, s string"), 1, apart="s").collect()
+    assert {(x.left_id, x.right_id) for x in found} == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[2] != b[2]}
+    assert len(found) == len(set(found))
+
+
 def test_prototypes_leave_their_scene_out(spark):
     rows = [("fine:4", "a", [0.0, 0.0, 1.0]), *[("fine:4", "b", [2.0, 0.0, 0.0])] * 3, ("fine:4", "c", None)]
     sums = prototypes.vector_sums(spark.createDataFrame(rows, "key string, scene string, embedding array<double>"), "key", "scene")
