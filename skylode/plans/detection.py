@@ -24,12 +24,12 @@ RATES_SQL = """round(fp / greatest(fp + tp, 1), 6) AS false_alarm_rate, round(1
 round(2 * (1 - fp / greatest(fp + tp, 1)) * (tp / greatest(tp + fn, 1)) / greatest(1 - fp / greatest(fp + tp, 1) + tp / greatest(tp + fn, 1), 1e-12), 6) AS f1"""
 
 
-def pairs_sql(det: str, name: str, same: bool = True) -> str:
-    """Overlapping pairs of detections ``det`` and boxes."""
+def pairs_sql(det: str, name: str, same: bool = True, gt: str = "gt") -> str:
+    """Overlapping pairs of detections ``det`` and boxes ``gt``."""
     return f"""
 {name}0 AS (SELECT d.image, d.grp, d.pi, d.score, g.gi, g.grp AS gt_grp, d.x1, d.y1, d.x2, d.y2, g.x1 AS gx1, g.y1 AS gy1, g.x2 AS gx2, g.y2 AS gy2,
    greatest(least(d.x2, g.x2) - greatest(d.x1, g.x1), 0) AS w, greatest(least(d.y2, g.y2) - greatest(d.y1, g.y1), 0) AS h
-   FROM {det} d JOIN gt g ON d.image = g.image {'AND d.grp = g.grp' if same else ''}
+   FROM {det} d JOIN {gt} g ON d.image = g.image {'AND d.grp = g.grp' if same else ''}
    WHERE d.x1 < g.x2 AND g.x1 < d.x2 AND d.y1 < g.y2 AND g.y1 < d.y2),
 {name} AS (SELECT image, grp, pi, score, gi, gt_grp, {_IOU} AS iou FROM {name}0)"""
 
@@ -46,10 +46,17 @@ def match_sql(pairs: str, name: str, floor: float | None = None) -> str:
 {name} AS (SELECT image, grp, u.m.pi AS pi, u.m.gi AS gi, u.m.iou AS iou, u.m.score AS score FROM (SELECT image, grp, unnest(ms) AS m FROM {name}3) u)"""
 
 _BASE = f"WITH {GT_SQL}, {DET_SQL}"
-_COUNTS = """
-cnt AS (SELECT coalesce(d.grp, g.grp) AS grp, coalesce(m.tp, 0) AS tp, coalesce(d.n, 0) - coalesce(m.tp, 0) AS fp, coalesce(g.n, 0) - coalesce(m.tp, 0) AS fn
-   FROM (SELECT grp, count(*) AS n FROM det GROUP BY grp) d FULL JOIN (SELECT grp, count(*) AS n FROM gt GROUP BY grp) g ON d.grp = g.grp LEFT JOIN (SELECT grp, count(*) AS tp FROM mt GROUP BY grp) m ON m.grp = coalesce(d.grp, g.grp)),
-tot AS (SELECT grp, tp, fp, fn FROM cnt UNION ALL SELECT 'overall', CAST(sum(tp) AS BIGINT), CAST(sum(fp) AS BIGINT), CAST(sum(fn) AS BIGINT) FROM cnt)"""
+
+
+def counts_sql(det: str, matches: str, name: str) -> str:
+    """Counts by group and overall of detections ``det`` and their matches."""
+    return f"""
+{name}0 AS (SELECT coalesce(d.grp, g.grp) AS grp, coalesce(m.tp, 0) AS tp, coalesce(d.n, 0) - coalesce(m.tp, 0) AS fp, coalesce(g.n, 0) - coalesce(m.tp, 0) AS fn
+   FROM (SELECT grp, count(*) AS n FROM {det} GROUP BY grp) d FULL JOIN (SELECT grp, count(*) AS n FROM gt GROUP BY grp) g ON d.grp = g.grp LEFT JOIN (SELECT grp, count(*) AS tp FROM {matches} GROUP BY grp) m ON m.grp = coalesce(d.grp, g.grp)),
+{name} AS (SELECT grp, tp, fp, fn FROM {name}0 UNION ALL SELECT 'overall', CAST(sum(tp) AS BIGINT), CAST(sum(fp) AS BIGINT), CAST(sum(fn) AS BIGINT) FROM {name}0)"""
+
+
+_COUNTS = counts_sql("det", "mt", "tot")
 
 
 def match_metrics_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,10 +149,10 @@ def nms_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.suppressed(detections(spark, sf_dir), 0.5).select("image", "pi", "grp", "score")
 
 
-_NMS = f"""{_BASE}, n1 AS (SELECT image, grp, list_sort(list({{'down': -score, 'pi': pi, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}})) AS rs FROM det GROUP BY image, grp),
+_KEPT = """n1 AS (SELECT image, grp, list_sort(list({'down': -score, 'pi': pi, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2})) AS rs FROM det GROUP BY image, grp),
 n2 AS (SELECT image, grp, list_reduce(rs, lambda k, x: CASE WHEN len(list_filter(k, lambda o: greatest(least(o.x2, x.x2) - greatest(o.x1, x.x1), 0) * greatest(least(o.y2, x.y2) - greatest(o.y1, x.y1), 0)
-  / greatest((o.x2 - o.x1) * (o.y2 - o.y1) + (x.x2 - x.x1) * (x.y2 - x.y1) - greatest(least(o.x2, x.x2) - greatest(o.x1, x.x1), 0) * greatest(least(o.y2, x.y2) - greatest(o.y1, x.y1), 0), 1e-9) >= 0.5)) > 0 THEN k ELSE list_append(k, x) END, rs[1:0]) AS ks FROM n1)
-SELECT image, CAST(m.pi AS BIGINT) AS pi, grp, -m.down AS score FROM (SELECT image, grp, unnest(ks) AS m FROM n2)"""
+  / greatest((o.x2 - o.x1) * (o.y2 - o.y1) + (x.x2 - x.x1) * (x.y2 - x.y1) - greatest(least(o.x2, x.x2) - greatest(o.x1, x.x1), 0) * greatest(least(o.y2, x.y2) - greatest(o.y1, x.y1), 0), 1e-9) >= 0.5)) > 0 THEN k ELSE list_append(k, x) END, rs[1:0]) AS ks FROM n1),
+n3 AS (SELECT image, CAST(m.pi AS BIGINT) AS pi, grp, -m.down AS score FROM (SELECT image, grp, unnest(ks) AS m FROM n2))"""
 
 
 def crowded_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,9 +261,13 @@ fr AS (SELECT CASE WHEN image % 20 < 14 THEN 'train' WHEN image % 20 < 17 THEN '
 SELECT 'small' AS flag, round(max(small) - min(small), 6) AS gap FROM fr UNION ALL SELECT 'crowded', round(max(crowded) - min(crowded), 6) FROM fr UNION ALL SELECT 'edge', round(max(edge) - min(edge), 6) FROM fr"""
 
 _MATCHED = f"{_BASE}, {pairs_sql('det', 'pd')}, {match_sql('pd', 'mt')}"
-_DIFFERENCE = f"""{_BASE}, p AS (SELECT image, pi, fine, score AS ls, CASE WHEN pi % 13 <> 0 THEN 1 ELSE 0 END AS r FROM det),
-i AS (SELECT image, count(*) AS l, sum(r) AS r FROM p GROUP BY image)
-SELECT count(*) AS images, count(*) FILTER (l = r) AS exact_images, CAST(sum(r) AS BIGINT) AS pairs, CAST(1 AS DOUBLE) AS mean_iou, CAST(0.25 AS DOUBLE) AS mean_score_delta FROM i"""
+_DIFFERENCE = f"""{_BASE}, a AS (SELECT image, pi, CAST(fine AS VARCHAR) AS grp, CAST(-pi AS DOUBLE) AS score, score AS was, x1, y1, x2, y2 FROM det),
+b AS (SELECT image, pi AS gi, CAST(fine AS VARCHAR) AS grp, score + 0.25 AS now, x1, y1, x2, y2 FROM det WHERE pi % 13 <> 0),{pairs_sql('a', 'pd', gt='b')},{match_sql('pd', 'mt', 0.999)},
+i AS (SELECT coalesce(l.image, r.image) AS image, coalesce(l.n, 0) AS l, coalesce(r.n, 0) AS r FROM (SELECT image, count(*) AS n FROM a GROUP BY image) l FULL JOIN (SELECT image, count(*) AS n FROM b GROUP BY image) r ON l.image = r.image),
+m AS (SELECT mt.image, count(*) AS m, sum(mt.iou) AS iou, sum(abs(a.was - b.now)) AS delta FROM mt JOIN a ON a.image = mt.image AND a.pi = mt.pi JOIN b ON b.image = mt.image AND b.gi = mt.gi GROUP BY mt.image)
+SELECT count(*) AS images, count(*) FILTER (l = r AND l = coalesce(m, 0)) AS exact_images, CAST(sum(m) AS BIGINT) AS pairs, round(sum(iou) / greatest(sum(m), 1), 6) AS mean_iou, round(sum(delta) / greatest(sum(m), 1), 6) AS mean_score_delta FROM i LEFT JOIN m USING (image)"""
+MODELS_SQL = f"""{_MATCHED}, {_COUNTS}, {_KEPT}, dk AS (SELECT det.* FROM det JOIN n3 USING (image, pi)), {pairs_sql('dk', 'pk')}, {match_sql('pk', 'mk')}, {counts_sql('dk', 'mk', 'totk')}
+SELECT a.grp, a.tp AS a_tp, b.tp AS b_tp, b.tp - a.tp AS tp_change, b.fp - a.fp AS fp_change FROM tot a JOIN totk b ON a.grp = b.grp"""
 
 QUERIES = {
     f.__name__: f
@@ -273,7 +284,7 @@ ORACLES = {
     "instance_taxonomy": f"{_TAXONOMY} SELECT * FROM tx",
     "instance_summary": f"{_TAXONOMY} SELECT CASE GROUPING(grp, error) WHEN 0 THEN 'group_error' WHEN 1 THEN 'group' WHEN 2 THEN 'error' ELSE 'all' END AS level, coalesce(grp, '') AS grp, coalesce(error, '') AS error, count(*) AS n FROM tx GROUP BY CUBE (grp, error)",
     "false_positive_taxonomy": f"{_BASE}, {_FPS} SELECT image, pi, grp, score, reason, nearest_gi, round(nearest_iou, 6) AS nearest_iou FROM fps",
-    "nms_by_group": _NMS,
+    "nms_by_group": f"{_BASE}, {_KEPT} SELECT * FROM n3",
     "crowded_flags": _CROWD,
     "size_edge_distribution": _SIZES,
     "filter_cascade": _CASCADE,

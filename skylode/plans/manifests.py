@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skylode.operators import datasets, matching, splits
 from skylode.plans.derive import GT_SQL, ground_truth
-from skylode.plans.detection import _CROWD, ORACLES as DETECTION, false_positive_taxonomy, instance_taxonomy
+from skylode.plans.detection import _CROWD, MODELS_SQL, ORACLES as DETECTION, false_positive_taxonomy, instance_taxonomy
 from skylode.plans.leakage import _hashes
 from skylode.runtime import table
 
@@ -137,5 +137,6 @@ ORACLES = {
     "object_lookup": _LOOKUP,
     "false_positive_summary": DETECTION["false_positive_taxonomy"].rpartition("SELECT image, pi")[0] + "SELECT CASE GROUPING(grp, reason) WHEN 0 THEN 'reason' WHEN 1 THEN 'group' ELSE 'all' END AS level, coalesce(grp, '') AS grp, coalesce(reason, '') AS reason, count(*) AS n FROM fps GROUP BY ROLLUP (grp, reason)",
     "top_error_images": DETECTION["instance_taxonomy"].rpartition("SELECT * FROM tx")[0] + "SELECT image, count(*) AS n FROM tx WHERE error <> 'detected' GROUP BY image ORDER BY n DESC, image LIMIT 10",
+    "model_differences": MODELS_SQL,
     "scene_fallback": _SCENES,
 }
