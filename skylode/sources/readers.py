@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,27 +83,53 @@ def list_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = IMAGE
     return own.select("path", names.basename(F.col("path")).alias("name"), "length", *([F.sha2("content", 256).alias("sha256")] if digest else []))
 
 
-def archive_entries(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
-    """Rows (archive, entry, size[, sha256]) of zip archives: their directories, and entry by entry their contents if digests are asked for."""
+def _seekable(path: str):
+    """A file of any store that pyarrow knows, opened where the caller runs; bytes are read on demand."""
+    from urllib.parse import quote, urlsplit
+
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file("/" + path.removeprefix("file:").lstrip("/"))
+    found, inside = fs.FileSystem.from_uri(quote(path, safe="/:@?=&%")) if urlsplit(path).scheme else (fs.LocalFileSystem(), path)
+    return found.open_input_file(inside)
+
+
+def archive_entries(spark: SparkSession, path: str, digest: bool = False, opened: Callable[[str], object] = _seekable) -> DataFrame:
+    """Rows (archive, entry, size, position[, sha256]) of zip archives: their directories, and the contents' digests if asked for.
+
+    An archive is never held whole: ``opened`` gives a seekable file, of which the directory is read, and a digest streams
+    its entry in blocks. Entries are dealt to tasks, so one large archive is read by many.
+    """
     import hashlib
-    import io
     import zipfile
 
     import pyarrow as pa
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    plain = pa.schema([("archive", pa.string()), ("entry", pa.string()), ("size", pa.int64()), ("position", pa.int64())])
+
+    def directory(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column("path").to_pylist():
+                with opened(name) as f, zipfile.ZipFile(f) as z:
+                    entries = [(i, e) for i, e in enumerate(z.infolist()) if not e.is_dir()]
+                yield pa.RecordBatch.from_pydict({"archive": [name] * len(entries), "entry": [e.filename for _, e in entries], "size": [e.file_size for _, e in entries], "position": [i for i, _ in entries]}, schema=plain)
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    entries = [e for e in z.infolist() if not e.is_dir()]
-                    columns = {"archive": [name] * len(entries), "entry": [e.filename for e in entries], "size": [e.file_size for e in entries]}
-                    if digest:
-                        columns["sha256"] = [hashlib.sha256(z.read(e)).hexdigest() for e in entries]
-                yield pa.RecordBatch.from_pydict(columns, schema=fields)
+            found: list[str | None] = [None] * batch.num_rows
+            rows = list(zip(batch.column("archive").to_pylist(), batch.column("position").to_pylist(), range(batch.num_rows), strict=True))
+            for name in dict.fromkeys(a for a, _, _ in rows):
+                with opened(name) as f, zipfile.ZipFile(f) as z:
+                    entries = z.infolist()
+                    for _, i, at in (r for r in rows if r[0] == name):
+                        with z.open(entries[i]) as content:
+                            found[at] = hashlib.file_digest(content, "sha256").hexdigest()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], schema=plain.append(pa.field("sha256", pa.string())))
 
-    fields = pa.schema([("archive", pa.string()), ("entry", pa.string()), ("size", pa.int64()), *([("sha256", pa.string())] if digest else [])])
-    found = spark.read.format("binaryFile").load(path).select("path", "content")
-    return found.mapInArrow(kernel, "archive string, entry string, size long" + ", sha256 string" * digest)
+    kind = "archive string, entry string, size long, position long"
+    out = spark.read.format("binaryFile").load(path).select("path").mapInArrow(directory, kind)
+    return out.repartition("archive", "position").mapInArrow(digests, kind + ", sha256 string") if digest else out
 
 
 def image_entries(entries: DataFrame) -> DataFrame:
@@ -114,11 +140,11 @@ def image_entries(entries: DataFrame) -> DataFrame:
 
 
 def label_entries(entries: DataFrame, last_wins: bool = False) -> DataFrame:
-    """Label entries with ``split`` and folded name ``key``, unique; or with ``last_wins`` the greatest entry of each."""
+    """Label entries with ``split`` and folded name ``key``, unique; or with ``last_wins`` of each the entry that its archive holds last."""
     name = names.basename(F.col("entry"))
     own = entries.withColumn("split", names.entry_split(F.col("entry"), "labels")).where(F.col("split").isNotNull() & name.endswith(".txt") & (F.lower(name) != "classes.txt")).withColumn("key", names.folded(name))
     if last_wins:
-        return own.groupBy("split", "key").agg(F.max("entry").alias("entry"))
+        return own.groupBy("split", "key").agg(F.max_by("entry", F.struct("archive", "position")).alias("entry"))
     return unique(own, "split", "key")
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,18 +71,35 @@ def verified(found: dict) -> dict:
 
 
 def put_text(spark: SparkSession, path: str, text: str, overwrite: bool = False) -> None:
-    """One small file in any store: written beside, then renamed. An existing file is an error unless ``overwrite``."""
+    """One small file in any store: written beside, then renamed in one step, so a reader sees the old text or the new. An existing file is an error unless ``overwrite``."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".tmp")
+    target, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
     fs = target.getFileSystem(conf)
-    if fs.exists(target):
-        if not overwrite:
-            raise ContractError(f"{path} exists")
-        fs.delete(target, False)
-    out = fs.create(beside, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    fs.rename(beside, target)
+    if not overwrite and fs.exists(target):
+        raise ContractError(f"{path} exists")
+    out = fs.create(beside, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE if overwrite else kind.NONE
+    try:
+        # A rename that finds the target there, or fails otherwise, is an error.
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(beside, target, how)
+    except Exception as e:
+        fs.delete(beside, False)
+        raise ContractError(f"{path} can't be put in place: {e}") from e
+
+
+def put_csv(df: DataFrame, path: str, overwrite: bool = False) -> None:
+    """A small result as one CSV file with a byte order mark and a header, its rows in the order of ``df``; more than :data:`REPORT_ROWS` are an error."""
+    out = io.StringIO()
+    lines = csv.DictWriter(out, df.columns)
+    lines.writeheader()
+    lines.writerows(report(df))
+    put_text(df.sparkSession, path, "\ufeff" + out.getvalue(), overwrite)
 
 
 def split_lists(rows: DataFrame) -> DataFrame:

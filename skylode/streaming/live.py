@@ -27,7 +27,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes", lateness: str = "10 min
 def verify_live(events: DataFrame) -> DataFrame:
     """Rows (ledger, sequence, problem) for each appended event (ledger, sequence, previous, payload, sha) that breaks its ledger's chain.
 
-    The state of a ledger is its last sequence and digest. Events of one batch are taken in order of sequence.
+    The state of a ledger is sequence and digest of its last good event, so what is chained to a bad event is bad too. Events of one batch are taken in order of sequence.
     """
     import hashlib
     import json
@@ -43,7 +43,8 @@ def verify_live(events: DataFrame) -> DataFrame:
                 out.append((key[0], e["sequence"], "previous"))
             elif hashlib.sha256(text.encode()).hexdigest() != e["sha"]:
                 out.append((key[0], e["sequence"], "digest"))
-            last, sha = int(e["sequence"]), e["sha"]
+            else:
+                last, sha = int(e["sequence"]), e["sha"]
         state.update((last, sha))
         yield pd.DataFrame(out, columns=["ledger", "sequence", "problem"])
 
