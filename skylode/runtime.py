@@ -48,6 +48,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _own.setdefault(app, f"file://{tempfile.mkdtemp(prefix='skylode-')}")
 
 
+def place(spark: SparkSession, name: str = "") -> str:
+    """A new path in the shared folder, which :func:`clear` deletes."""
+    path = f"{shared_dir(spark)}/skylode/{uuid.uuid4().hex}{name and '-'}{name}"
+    if not _written:
+        atexit.register(clear)
+    # The settings are held too, as a stopped session no longer gives them.
+    _written.append((spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path))
+    return path
+
+
 def cut(df: DataFrame, name: str = "") -> DataFrame:
     """Writes a table to the shared folder and reads it again.
 
@@ -55,11 +65,7 @@ def cut(df: DataFrame, name: str = "") -> DataFrame:
     came before, and an iterative plan stays as small as its last round. The tables stay until the process ends or :func:`clear` is called.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skylode/{uuid.uuid4().hex}{name and '-'}{name}"
-    if not _written:
-        atexit.register(clear)
-    # The settings are held too, as a stopped session no longer gives them.
-    _written.append((spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path))
+    path = place(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
