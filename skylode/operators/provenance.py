@@ -7,17 +7,18 @@ a digest is sequential: its rows meet in one task, and more than ``MOST_ROWS`` a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skylode.functions import paths
 from skylode.functions.numbers import canonical, digest, is_digest
 from skylode.operators.audits import ContractError, require
 from skylode.operators.records import canonical_digest, mismatches
+from skylode.operators.splits import placed
 
 #: Rows (some 300 bytes each) that a fingerprint in order may gather in its one task.
 MOST_ROWS = 2_000_000
-#: The fields of fingerprints and of a cache's compatibility, and the schema that old fingerprints name.
+#: The fields of fingerprints and of a cache's compatibility.
 SPLIT_FIELDS = ("split", "source", "scene_id", "cluster_id", "image")
 INVENTORY_FIELDS = ("split", "image", "label", "image_sha256", "label_sha256")
 OLD_SPLIT_FIELDS = ("split", "scene_id", "image")
@@ -51,8 +52,8 @@ def fingerprints(rows: DataFrame, fields: tuple[str, ...] = INVENTORY_FIELDS, by
     return require(out, rows=F.col("n") > 0)
 
 
-def dataset_fingerprint(inventory: DataFrame, classes: str, split: str, background: str, label_fixes: str | None = None, scene_audit: str | None = None, schema: str = "fhit.dataset_fingerprint.v1", dataset_id: str = "scene811_v1") -> DataFrame:
-    """One row (fingerprint, n): the digest of a whole dataset's parts, the inventory (relative_image, split, scene_id and both digests) in order of its images."""
+def dataset_fingerprint(inventory: DataFrame, schema: str, dataset_id: str, classes: str, split: str, background: str, label_fixes: str | None = None, scene_audit: str | None = None) -> DataFrame:
+    """One row (fingerprint, n): the digest of a whole dataset's parts under the name of their schema, the inventory (relative_image, split, scene_id and both digests) in order of its images."""
     parts = {"schema": schema, "dataset_id": dataset_id, "class_mapping_fingerprint": classes, "split_fingerprint": split, "background_confirmation": background, "label_fix_manifest_sha256": label_fixes or "none", "non_l_scene_audit_sha256": scene_audit or "none"}
     # The JSON of the parts with a mark in the inventory's place, which is then put there by the query.
     before, after = canonical_text(parts | {"inventory": "\0"}).split('"\\u0000"')
@@ -66,12 +67,12 @@ def canonical_text(value: object) -> str:
     return canonical_json(value)
 
 
-def class_fingerprint(names: dict, schema: str = "fhit.dataset_fingerprint.v1") -> str:
-    """The digest of class names by number; the numbers run from 0 without a gap."""
+def class_fingerprint(names: dict, schema: str, kind: str) -> str:
+    """The digest of class names by number, under the names of their schema and kind; the numbers run from 0 without a gap."""
     by_number = {int(k): str(v) for k, v in names.items()}
     if not by_number or sorted(by_number) != list(range(len(names))):
         raise ContractError(f"class numbers must run from 0 on, not {sorted(by_number)}")
-    return canonical_digest({"schema": schema, "kind": "scene811_class_mapping", "names": {str(k): v for k, v in by_number.items()}})
+    return canonical_digest({"schema": schema, "kind": kind, "names": {str(k): v for k, v in by_number.items()}})
 
 
 def inventory(manifest: DataFrame, found: DataFrame) -> DataFrame:
@@ -148,20 +149,15 @@ def resumable(wanted: DataFrame, done: DataFrame, contract: dict, kept: dict | N
 def sampled(rows: DataFrame, order: str, samples: int) -> DataFrame:
     """``samples`` rows (at least one, at most all) evenly spaced by ``order``, the first and the last among them.
 
-    Rows are numbered within ranges of the order and from the ranges' counts, so no task gets all of them.
+    Rows are numbered within ranges of the order, so no task gets all of them.
     """
-    ranged = rows.repartitionByRange(order).select("*", F.spark_partition_id().alias("__p"))
-    counts = ranged.groupBy("__p").agg(F.count("*").alias("__c"))
-    before = F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each task
-    total = F.sum("__c").over(Window.partitionBy())
-    placed = ranged.join(counts.select("__p", before.alias("__b"), total.alias("__n")), "__p")
-    at = F.col("__b") + F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1
+    counted = placed(rows, [], (order,))
     count = F.least(F.greatest(F.lit(samples).cast("long"), F.lit(1).cast("long")), F.col("__n"))
     # Place p is chosen if some i in 0..count-1 rounds to it: i is the nearest to p * (count-1) / (n-1).
     last, gaps = F.col("__n") - 1, F.greatest(count - 1, F.lit(1))
     near = F.floor(F.col("__at") * gaps / F.greatest(last, F.lit(1)))
     hit = lambda i: (i < count) & (F.bround(i * last / gaps) == F.col("__at"))
-    return placed.withColumn("__at", at).where(hit(near) | hit(near + 1)).drop("__p", "__b", "__n", "__at")
+    return counted.withColumn("__at", F.col("__r") - 1).where(hit(near) | hit(near + 1)).select(*rows.columns)
 
 
 def sample_problems(cache: DataFrame, files: DataFrame, entries: DataFrame, fingerprint: str, samples: int = 64) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from skylode.plans import detection, evidence, leakage, lifecycle, manifests, storage
+from skylode.plans import detection, evidence, leakage, lifecycle, manifests, review, storage
 
-_MODULES = (detection, leakage, evidence, manifests, lifecycle, storage)
+_MODULES = (detection, leakage, evidence, manifests, lifecycle, review, storage)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}

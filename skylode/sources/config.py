@@ -14,8 +14,6 @@ from skylode.functions.boxes import THRESHOLDS
 from skylode.operators.audits import ContractError
 
 IMAGES = frozenset((".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff"))
-#: Fixed value: the schema of a frozen operating point.
-POINT = "fhit.competition_operating_point.v1"
 
 
 def structured(path: str | Path) -> object:
@@ -121,19 +119,19 @@ def checkpoint_name(value: str | Path, allowed: Iterable[str]) -> str:
 # --- operating points -------------------------------------------------------
 
 
-def frozen_point(point: dict, selection: str, **settings: object) -> dict:
-    """A chosen operating point with the settings (model, data_yaml, image_size, batch, max_det) it was measured with, as it is kept for the test."""
+def frozen_point(point: dict, selection: str, schema: str, **settings: object) -> dict:
+    """A chosen operating point with the settings (model, data_yaml, image_size, batch, max_det) it was measured with, as it is kept for the test under the name of its ``schema``."""
     kept = {k: point[k] for k in ("overall", "per_group", "competition_ranking_items", "overall_safety_gate")}
-    frozen = {"schema_version": POINT, "selection": selection, "class_aware_matching": point.get("class_aware_matching"), "iou_thresholds": dict(THRESHOLDS), "validation_snapshot": kept, **settings}
-    return checked_point(frozen | {k: float(point[k]) for k in ("confidence", "nms_iou")})
+    frozen = {"schema_version": schema, "selection": selection, "class_aware_matching": point.get("class_aware_matching"), "iou_thresholds": dict(THRESHOLDS), "validation_snapshot": kept, **settings}
+    return checked_point(frozen | {k: float(point[k]) for k in ("confidence", "nms_iou")}, schema)
 
 
-def checked_point(value: dict) -> dict:
+def checked_point(value: dict, schema: str) -> dict:
     """A frozen operating point that may be used: of the schema, matched by class under the official limits, with shares and sizes in range."""
     whole = lambda k: isinstance(value.get(k), int) and not isinstance(value[k], bool) and value[k] > 0
     share = lambda k: isinstance(value.get(k), (int, float)) and 0 <= value[k] <= 1
     rules = {
-        "schema": value.get("schema_version") == POINT,
+        "schema": value.get("schema_version") == schema,
         "class-aware matching": value.get("class_aware_matching") is True,
         "limits of overlap": value.get("iou_thresholds") == dict(THRESHOLDS),
         **{k: share(k) for k in ("confidence", "nms_iou")},

@@ -27,15 +27,15 @@ def test_fingerprints_are_digests_of_canonical_json_in_order(spark):
         provenance.fingerprints(df.limit(0))
     files = spark.createDataFrame([(f"images/{r[0]}/{r[4]}", r[6]) for r in rows] + [(f"labels/{r[0]}/{r[5]}", r[7]) for r in rows], "path string, sha256 string")
     listed = provenance.inventory(df, files)
-    got = provenance.dataset_fingerprint(listed, "c", "s", "yes", scene_audit="q").first()
-    parts = {"schema": "fhit.dataset_fingerprint.v1", "dataset_id": "scene811_v1", "class_mapping_fingerprint": "c", "split_fingerprint": "s", "background_confirmation": "yes", "label_fix_manifest_sha256": "none", "non_l_scene_audit_sha256": "q"}
+    got = provenance.dataset_fingerprint(listed, "dataset.v1", "set", "c", "s", "yes", scene_audit="q").first()
+    parts = {"schema": "dataset.v1", "dataset_id": "set", "class_mapping_fingerprint": "c", "split_fingerprint": "s", "background_confirmation": "yes", "label_fix_manifest_sha256": "none", "non_l_scene_audit_sha256": "q"}
     entries = [{f: r[f] for f in provenance.OLD_INVENTORY_FIELDS} for r in sorted(listed.collect(), key=lambda r: r.relative_image)]
     assert got.fingerprint == digest(parts | {"inventory": entries})
     with pytest.raises(ContractError):
         provenance.inventory(df, files.limit(4))
     with pytest.raises(ContractError):
-        provenance.class_fingerprint({"0": "a", "2": "b"})
-    assert provenance.class_fingerprint({"1": "b", "0": "a"}) == provenance.class_fingerprint({0: "a", 1: "b"})
+        provenance.class_fingerprint({"0": "a", "2": "b"}, "dataset.v1", "classes")
+    assert provenance.class_fingerprint({"1": "b", "0": "a"}, "dataset.v1", "classes") == provenance.class_fingerprint({0: "a", 1: "b"}, "dataset.v1", "classes")
 
 
 @pytest.mark.parametrize("n,samples", [(1, 5), (7, 3), (100, 64), (64, 64), (10, 0)])
@@ -167,11 +167,11 @@ def test_configuration_files(tmp_path):
     with pytest.raises(ContractError):
         config.metrics()
     point = {"confidence": 0.4, "nms_iou": 0.5, "class_aware_matching": True, "overall": {}, "per_group": {}, "competition_ranking_items": {}, "overall_safety_gate": {}}
-    frozen = config.frozen_point(point, "best", model="m", data_yaml="d", image_size=640, batch=8, max_det=300)
-    assert config.checked_point(json.loads(json.dumps(frozen))) == frozen
+    frozen = config.frozen_point(point, "best", "point.v1", model="m", data_yaml="d", image_size=640, batch=8, max_det=300)
+    assert config.checked_point(json.loads(json.dumps(frozen)), "point.v1") == frozen
     for bad in ({"batch": True}, {"confidence": 2}, {"class_aware_matching": False}, {"iou_thresholds": {}}, {"schema_version": "x"}):
         with pytest.raises(ContractError):
-            config.checked_point(frozen | bad)
+            config.checked_point(frozen | bad, "point.v1")
     facts = config.snapshot(tmp_path / "d.yaml", tmp_path / "kept", "data")
     assert facts["sha256"] == config.file_digest(facts["snapshot"])
     for how in ("copy", "hardlink", "symlink"):
