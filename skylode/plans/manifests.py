@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylode.operators import datasets, matching, splits
+from skylode.operators import datasets, matching, similarity, splits
 from skylode.plans.derive import GT_SQL, ground_truth
 from skylode.plans.detection import _CROWD, MODELS_SQL, ORACLES as DETECTION, false_positive_taxonomy, instance_taxonomy
 from skylode.plans.leakage import _hashes
@@ -61,12 +61,9 @@ c AS (SELECT id AS node, id AS root FROM h UNION SELECT q.v, c.root FROM c JOIN
 
 
 def review_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from skylode.operators.similarity import hamming_pairs
-
-    h = _hashes(spark, sf_dir)
-    side = lambda n: h.select(F.col("id").alias(f"{n}_id"), F.col("split").alias(f"{n}_split"))
-    pairs = hamming_pairs(h, 2).join(side("left"), "left_id").join(side("right"), "right_id")
-    return pairs.groupBy(datasets.review_priority().alias("priority"), "distance").agg(F.count("*").alias("n"))
+    """How many pairs of rows have each priority and distance, from classes of equal hash and split."""
+    pairs = similarity.hamming_class_pairs(_hashes(spark, sf_dir), 2, "split")
+    return pairs.groupBy(datasets.review_priority().alias("priority"), "distance").agg(F.sum("pairs").alias("n"))
 
 
 _PRIORITY = "WITH {h} SELECT CASE WHEN d = 0 THEN 'p0' WHEN s AND d <= 1 THEN 'p1' ELSE 'rest' END AS priority, CAST(d AS BIGINT) AS distance, count(*) AS n FROM (SELECT bit_count(xor(a.hash, b.hash)) AS d, a.split <> b.split AS s FROM h a JOIN h b ON a.id < b.id) WHERE d <= 2 GROUP BY 1, 2"

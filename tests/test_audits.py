@@ -208,6 +208,25 @@ def test_reviews_meet_rows_and_not_pairs(spark, monkeypatch, tmp_path):
     assert sum(x[2] for x in found) > 2000 and max(met) <= 3 * len(keys)
 
 
+@pytest.mark.parametrize("crowd", [3, 512])
+def test_class_pairs_count_what_rows_give(spark, monkeypatch, crowd):
+    monkeypatch.setattr(similarity, "CROWD", crowd)
+    rows, all_rows = crowded_rows()
+    out = similarity.hamming_class_pairs(spark.createDataFrame(all_rows, "id long, hash long, s string"), 2, "s").collect()
+    found, expected = {}, {}
+    for x in out:
+        assert x.pairs > 0 and bits(x.left_hash, x.right_hash) == x.distance
+        key = frozenset([(x.left_hash, x.left_s), (x.right_hash, x.right_s)])
+        assert key not in found
+        found[key] = x.pairs
+    for a in rows:
+        for b in rows:
+            if a[0] < b[0] and bits(a[1], b[1]) <= 2:
+                key = frozenset([a[1:], b[1:]])
+                expected[key] = expected.get(key, 0) + 1
+    assert found == expected
+
+
 def test_prototypes_leave_their_scene_out(spark):
     rows = [("fine:4", "a", [0.0, 0.0, 1.0]), *[("fine:4", "b", [2.0, 0.0, 0.0])] * 3, ("fine:4", "c", None)]
     sums = prototypes.vector_sums(spark.createDataFrame(rows, "key string, scene string, embedding array<double>"), "key", "scene")
