@@ -22,7 +22,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts alike by 0.8 or more (five words to a shingle) keeps one row, with the smallest doc_id."""
+    """Of each group of texts whose fingerprints differ in 2 bits at most (as in op9), or which are alike by 0.8 or more (five words to a shingle), keeps one row, with the smallest doc_id."""
     return simhash.keep_one(docs)
 
 

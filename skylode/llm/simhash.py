@@ -14,6 +14,8 @@ from skylode.operators.graph import connected_components
 from skylode.runtime import cut
 
 SEED = 42
+#: Words to a shingle of a fingerprint.
+FINGERPRINT_WORDS = 3
 #: Bit ranges (low, width) of the three bands: of two fingerprints within 2 bits, one band at least is equal.
 BANDS = ((0, 22), (22, 21), (43, 21))
 #: A key shared by more fingerprints than this is linked through midpoints instead of pairs.
@@ -52,7 +54,7 @@ def fingerprint(text: str, words: int) -> int:
     return _majority(raw, count) if count else 0
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = FINGERPRINT_WORDS) -> DataFrame:
     """Rows (doc_id, fp): every document's fingerprint as a signed 64-bit integer."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,14 +79,15 @@ def _name(own: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, words: int = 5, row: Column | None = None) -> DataFrame:
-    """Rows (doc_id, row, node, size, sketch array<long>, keys array<long>): what ``row`` gives, name and size of the set of shingles, two bits of each of the smallest hash values, and keys of pairs of these."""
+    """Rows (doc_id, row, fp, node, size, sketch array<long>, keys array<long>): what ``row`` gives, the fingerprint over ``FINGERPRINT_WORDS``, name and size of the set of shingles, two bits of each of the smallest hash values, and keys of pairs of these."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         random = np.random.default_rng(SEED)
         times = random.integers(1, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
         for batch in batches:
-            names, sizes, bits, keys = [], [], [], []
+            fps, names, sizes, bits, keys = [], [], [], [], []
             for text in texts(batch):
+                fps.append(fingerprint(text, FINGERPRINT_WORDS))
                 whole = _distinct(text, words)
                 names.append(_name(whole))
                 sizes.append(len(whole))
@@ -99,10 +102,11 @@ def sketches(docs: DataFrame, words: int = 5, row: Column | None = None) -> Data
                 pair = low[: 2 * BANDED].astype(np.uint64)
                 keys.append(((pair[0::2] << np.uint64(32) | pair[1::2]) * np.uint64(0x9E3779B97F4A7C15) + np.arange(BANDED, dtype=np.uint64)).view(np.int64))
             lists = [pa.array([x.tolist() for x in c], pa.list_(pa.int64())) for c in (bits, keys)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), *lists], names=["doc_id", "row", "node", "size", "sketch", "keys"])
+            fp = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), fp, pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), *lists], names=["doc_id", "row", "fp", "node", "size", "sketch", "keys"])
 
     own = F.lit("") if row is None else row
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", own.alias("row")), kernel, "doc_id long, row string, node long, size long, sketch array<long>, keys array<long>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", own.alias("row")), kernel, "doc_id long, row string, fp long, node long, size long, sketch array<long>, keys array<long>")
 
 
 def pivots(count: int = PIVOTS) -> list[int]:
@@ -168,7 +172,7 @@ def near_links(fps: DataFrame, distance: int = 2, count: int = PIVOTS, crowd: in
     return links.unionByName(crowded.select(F.col("fp").alias("u"), F.explode(points).alias("v")))
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, crowd: int = CROWD) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = FINGERPRINT_WORDS, distance: int = 2, crowd: int = CROWD) -> DataFrame:
     """Rows (doc_id, fp, component_id), one for each row of ``docs``.
 
     ``component_id`` is the smallest doc_id that links reach. Null and empty
@@ -185,6 +189,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, crowd: i
     return found.withColumn("salt", salt("doc_id")).join(labels.withColumn("salt", each_salt("salted")), ["fp", "salt"]).select("doc_id", "fp", "component_id")
 
 
+def _fingerprint_links(found: DataFrame) -> DataFrame:
+    """Links (u, v) of the nodes of ``found`` (fp, node) that connect what :func:`near_links` connects of their fingerprints: a star about the smallest node of each component."""
+    held = cut(found.select("fp", "node").distinct())
+    each = cut(held.groupBy("fp").agg(F.min("node").alias("least"), salts_of(salt("node")).alias("salted")))
+    groups = connected_components(near_links(each.select("fp"))).withColumnRenamed("node", "fp")
+    known = _with_least(cut(each.select("fp", "least").join(groups, "fp")), "fp")
+    labels = each.join(known, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("u"), each_salt("salted").alias("salt"))
+    return cut(held.withColumn("salt", salt("node")).join(labels, ["fp", "salt"]).where("u != node").select("u", F.col("node").alias("v")).distinct())
+
+
 def _with_least(members: DataFrame, node: str) -> DataFrame:
     """Rows (``node``, component, component_id): the smallest ``least`` of each component, joined by salt to its members, so that a large component spreads over many tasks."""
     smallest = members.groupBy("component").agg(F.min("least").alias("component_id"), salts_of(salt(node)).alias("held"))
@@ -357,7 +371,7 @@ def _labelled(docs: DataFrame, words: int, similarity: float, row: Column | None
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LEADER_SALTS - 1).cast("long")))
         leaders = members.where("node = leader").withColumn("salt", every)
         candidates = candidates.unionByName(near(salted, leaders, same_key & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.node") != F.col("b.node"))))
-    links = verified(docs, classes, candidates, words, similarity)
+    links = _fingerprint_links(found).unionByName(verified(docs, classes, candidates, words, similarity))
     if crowded:
         links = links.unionByName(_in_blocks(docs, classes, hot, links, words, similarity))
     groups = connected_components(links)
@@ -367,9 +381,9 @@ def _labelled(docs: DataFrame, words: int, similarity: float, row: Column | None
 
 
 def alike_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Rows (doc_id, component_id), one for each row of ``docs``: components of texts whose shingle sets are alike to this degree.
+    """Rows (doc_id, component_id), one for each row of ``docs``: components of texts whose fingerprints :func:`near_links` links, as in :func:`near_duplicates`, or whose shingle sets are alike to this degree.
 
-    At 0.8 the fingerprints of two texts differ by ten bits or so, too many for keys that lose no pair, so
+    The fingerprints come first and decide by themselves, within 2 bits. They find few of the texts that are alike by less: at 0.8 the fingerprints of two texts differ by ten bits or so, too many for keys that lose no pair, so
     candidates share the two smallest hash values of one of ten bands: at 0.8 all bands
     miss with probability (1 - 0.8^2)^10 < 1e-4. The sizes of the sets must allow the similarity, and the share of
     equal pairs of bits in the sketches, less what chance gives, must reach it less four standard errors (a miss in 30,000 at 0.8). Both only

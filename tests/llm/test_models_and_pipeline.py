@@ -174,6 +174,22 @@ def test_stages_take_empty_documents(spark, tmp_path):
         assert stage(spark, docs, SMALL).count() == 0
 
 
+def test_the_near_stage_links_by_fingerprints(spark):
+    import corpus_pipeline as cp
+    from skylode.llm import simhash
+
+    line = "one line that is said again and "
+    texts = [line * 400 + " ".join(f"{x}{i}" for i in range(40)) for x in "abc"] + [" ".join(f"d{i}" for i in range(300)), "", None]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    groups = {x.doc_id: x.component_id for x in simhash.near_duplicates(docs).collect()}
+    assert groups == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 4}
+    assert sorted(x.doc_id for x in cp.near(spark, docs, "").collect()) == [0, 3, 4]
+    # What the stage leaves, no fingerprint links any more.
+    left = cp.near(spark, cp.exact(spark, spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), ""), "")
+    found = simhash.near_duplicates(left)
+    assert found.count() == found.select("component_id").distinct().count() > 100
+
+
 def test_dedup_stages_leave_one_row_of_each_group(spark):
     import corpus_pipeline as cp
 
