@@ -337,7 +337,7 @@ def _in_blocks(docs: DataFrame, classes: DataFrame, hot: DataFrame, links: DataF
     return cut(cells.join(members, "node").select(*columns).groupBy("key", "i", "j").applyInArrow(lambda t: _linked_cell(t, similarity), "u long, v long"))
 
 
-def _labelled(docs: DataFrame, words: int, similarity: float, row: Column | None = None) -> DataFrame:
+def _labelled(docs: DataFrame, words: int, similarity: float, row: Column | None = None, by_fingerprint: bool = False) -> DataFrame:
     """Rows (doc_id, row, component, component_id), see :func:`alike_documents`; ``component`` names the component whether it has an id or not."""
     found = cut(sketches(docs, words, row))
     classes = cut(found.groupBy("node").agg(F.min("doc_id").alias("least"), salts_of(salt("doc_id")).alias("salted"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")))
@@ -371,7 +371,9 @@ def _labelled(docs: DataFrame, words: int, similarity: float, row: Column | None
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LEADER_SALTS - 1).cast("long")))
         leaders = members.where("node = leader").withColumn("salt", every)
         candidates = candidates.unionByName(near(salted, leaders, same_key & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.node") != F.col("b.node"))))
-    links = _fingerprint_links(found).unionByName(verified(docs, classes, candidates, words, similarity))
+    links = verified(docs, classes, candidates, words, similarity)
+    if by_fingerprint:
+        links = _fingerprint_links(found).unionByName(links)
     if crowded:
         links = links.unionByName(_in_blocks(docs, classes, hot, links, words, similarity))
     groups = connected_components(links)
@@ -381,9 +383,9 @@ def _labelled(docs: DataFrame, words: int, similarity: float, row: Column | None
 
 
 def alike_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Rows (doc_id, component_id), one for each row of ``docs``: components of texts whose fingerprints :func:`near_links` links, as in :func:`near_duplicates`, or whose shingle sets are alike to this degree.
+    """Rows (doc_id, component_id), one for each row of ``docs``: components of texts whose shingle sets are alike to this degree.
 
-    The fingerprints come first and decide by themselves, within 2 bits. They find few of the texts that are alike by less: at 0.8 the fingerprints of two texts differ by ten bits or so, too many for keys that lose no pair, so
+    At 0.8 the fingerprints of two texts differ by ten bits or so, too many for keys that lose no pair, so
     candidates share the two smallest hash values of one of ten bands: at 0.8 all bands
     miss with probability (1 - 0.8^2)^10 < 1e-4. The sizes of the sets must allow the similarity, and the share of
     equal pairs of bits in the sketches, less what chance gives, must reach it less four standard errors (a miss in 30,000 at 0.8). Both only
@@ -400,12 +402,12 @@ def alike_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay: exactly one of each of the components of :func:`alike_documents`, that with the smallest doc_id.
+    """The rows of ``docs``, all columns, that stay: exactly one of each of the components that the links of :func:`near_duplicates` and of :func:`alike_documents` make together, that with the smallest doc_id.
 
     Rows without a doc_id come last; repeated rows, and rows that share an id inside a component, leave one.
     """
     key = F.concat_ws(":", F.sha2(F.coalesce("text", F.lit("")), 256), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")))
-    labels = _labelled(docs, words, similarity, key)
+    labels = _labelled(docs, words, similarity, key, by_fingerprint=True)
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")
     return keep_rows(docs, key, labels.groupBy("component").agg(F.min(order)["row"].alias("key")))
 
