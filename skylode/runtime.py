@@ -58,15 +58,15 @@ def place(spark: SparkSession, name: str = "") -> str:
     return path
 
 
-def cut(df: DataFrame, name: str = "") -> DataFrame:
-    """Writes a table to the shared folder and reads it again.
+def cut(df: DataFrame, name: str = "", **options) -> DataFrame:
+    """Writes a table to the shared folder, with ``options`` for the writer, and reads it again.
 
     The lineage ends there: a lost executor costs no recomputation of what
     came before, and an iterative plan stays as small as its last round. The tables stay until the process ends or :func:`clear` is called.
     """
     spark = df.sparkSession
     path = place(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,5 +1,8 @@
+import functools
 import hashlib
+import math
 import random
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +58,60 @@ def test_neighbours_are_never_of_the_same_split(spark):
     assert similarity.cross_split_topk(empty, 2).count() == 0
 
 
+def shuffled(spark, run):
+    """Bytes that a run puts into shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    before = written()
+    run()
+    return written() - before
+
+
+def nearest(rows, k):
+    """What the search must give, pair by pair."""
+    out = []
+    sums = lambda a, b: functools.reduce(lambda s, x: s + x, (x * y for x, y in zip(a, b, strict=True)), 0.0)
+    usable = [r for r in rows if r[2] is not None and math.isfinite(sums(r[2], r[2]))]
+    for i, s, v in usable:
+        found = []
+        for j, t, w in usable:
+            if s != t:
+                n = sums(v, v) * sums(w, w)
+                c = max(-1.0, min(1.0, sums(v, w) / math.sqrt(n))) if n else 0.0
+                found.append((-math.copysign(math.floor(abs(c) * 1e9 + 0.5), c), j, t, c))
+        out += [(i, s, rank, j, t, c) for rank, (_, j, t, c) in enumerate(sorted(found)[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_neighbours_equal_brute_force_with_copies_zeros_and_what_is_not_finite(spark, kind):
+    r = random.Random(6)
+    base = [[float(r.randint(-3, 3)) for _ in range(5)] for _ in range(40)] + [[0.0] * 5]
+    # One vector very often, copies in all splits, vectors that differ by less than single precision tells.
+    rows = [(i * 7 % 401, "train" if i % 20 < 14 else "val" if i % 20 < 17 else "test", base[0] if i % 3 == 0 else base[r.randrange(41)]) for i in range(400)]
+    rows = [(i, s, v if n % 5 or not any(v) else [v[0] * (1 + n * 1e-7) + 1, *v[1:]]) for n, (i, s, v) in enumerate(rows)]
+    rows += [(1000, "val", [float("nan")] * 5), (1001, "train", [float("inf"), 1.0, 0.0, 0.0, 0.0]), (1002, "test", None)]
+    df = spark.createDataFrame(rows, f"id long, split string, embedding array<{kind}>").repartition(3)
+    if kind == "float":
+        rows = [(i, s, v and [struct.unpack("f", struct.pack("f", x))[0] for x in v]) for i, s, v in rows]
+    for k, block in ((3, 16), (5, 4096)):
+        found = sorted(tuple(x) for x in similarity.cross_split_topk(df, k, block=block).collect())
+        assert found == nearest(rows, k)
+
+
+def test_the_search_for_neighbours_shuffles_no_vectors(spark):
+    rows = spark.range(1500).selectExpr("id", "if(id % 3 = 0, 'a', 'b') split", "transform(sequence(1, 64), x -> cast(sin(id * 64.0 + x * x) as float)) embedding").cache()
+    found = []
+    moved = shuffled(spark, lambda: found.extend(similarity.cross_split_topk(rows, 2, block=64).collect()))
+    assert len(found) == 3000
+    assert moved < 1500 * 64 * 4
+
+
 def test_components_equal_a_plain_search(spark):
     r = random.Random(4)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)] + [(500, i) for i in range(501, 560)] + [(None, 3), (7, 7)]
